@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filter
+from . import decontamination, license_scan, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op7_sharding)}
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digest(decontamination.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op7_sharding, op8_decontamination, op9_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
