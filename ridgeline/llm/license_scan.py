@@ -5,7 +5,8 @@ holds at least ``threshold`` of the template's words (containment). Words are or
 them, rarest first. By the prefix filter a block that meets a template holds one of its first
 ``|T| - need + 1`` words; the length filter wants ``need`` words in the block; the positional filter wants enough words
 of the template at or after the block's first prefix word. Only blocks that pass are counted in full. Templates are few
-and fixed, so they are the broadcast side.
+and fixed, so they are the broadcast side. Where all the words that a block shares with one template belong to another
+template that it holds to a larger share, only the latter names the block.
 
 Defined cases: null and empty texts have no words, no places and empty label strings; ties and repeated rows are each
 judged alone; extra columns are ignored; an empty table gives an empty result.
@@ -124,6 +125,7 @@ class _Matcher:
             pairs = np.unique(lines[known] * len(self.vocabulary) + ids[known])
             block, token = np.searchsorted(hot, pairs // len(self.vocabulary)), pairs % len(self.vocabulary)
             where = row[np.searchsorted(lines, hot)]
+            found: dict[int, list] = {}
             for label, size, need, member, place in self.templates:
                 mine = member[token]
                 first = np.full(len(hot), size)
@@ -131,7 +133,12 @@ class _Matcher:
                 may = (length >= need) & (first <= size - need)
                 if may.any():
                     held = np.bincount(block[mine], minlength=len(hot))
-                    met += [(int(where[b]), label, held[b] / size) for b in np.flatnonzero(may & (held >= need))]
+                    for b in np.flatnonzero(may & (held >= need)):
+                        found.setdefault(int(b), []).append((held[b] / size, label, frozenset(token[mine & (block == b)].tolist()), member))
+            for b, of in found.items():
+                for share, label, own, _ in of:
+                    if not any(other > share and all(member[t] for t in own) for other, _, _, member in of):
+                        met.append((int(where[b]), label, share))
         return places, met
 
 
