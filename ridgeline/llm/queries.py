@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, sharding, url_filter
+from . import decontamination, language_id, license_scan, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(_table(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"))
 
@@ -29,6 +33,6 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op7_sharding, op8_decontamination, op9_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op5_language_id, op7_sharding, op8_decontamination, op9_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
