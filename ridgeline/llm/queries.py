@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, sharding, url_filter
+from . import decontamination, language_id, license_scan, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op5_language_id, op7_sharding, op8_decontamination, op9_license_scan)}
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op5_language_id, op7_sharding, op8_decontamination, op9_license_scan, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
