@@ -32,7 +32,8 @@ def _lower(table: np.ndarray) -> np.ndarray:
 
 _BASE = (0x9E3779B97F4A7C15 & ~7) | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = _lower(mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95)))
+_EXACT = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+_VALUES = _lower(_EXACT.copy())
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 _B = np.arange(256)
@@ -64,7 +65,7 @@ def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets.astype(np.int64)
 
 
-def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of data; no word crosses a bound."""
     n = len(data)
     word = table[data]
@@ -80,11 +81,11 @@ def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.n
     power, inverse = _powers(n)
     sums = np.empty(n + 1, U)
     sums[0] = 0
-    np.cumsum(_VALUES[data] * power[:n], out=sums[1:])
+    np.cumsum(values[data] * power[:n], out=sums[1:])
     return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
-def _long(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one long text, in pieces cut between words."""
     parts, at = [], 0
     while at < len(data):
@@ -96,15 +97,16 @@ def _long(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                 break
             to += PIECE
         to = min(to, len(data))
-        s, e, h = _scan(data[at:to], np.array([0, to - at]), table)
+        s, e, h = _scan(data[at:to], np.array([0, to - at]), table, values)
         parts.append((s + at, e + at, h))
         at = to
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def words(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, table: np.ndarray, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows first..last-1: where each row's words begin among the run's (n + 1), then the words' hashes,
-    starts and ends in bytes, and those bytes."""
+    starts and ends in bytes, and those bytes. Without fold, A-Z and a-z hash differently."""
+    values = _VALUES if fold else _EXACT
     data, offsets = byte_views(column)
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -115,7 +117,7 @@ def words(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, np.nd
             empty = np.zeros(0, np.int64)
             yield first, last, np.zeros(last - first + 1, np.int64), np.zeros(0, U), empty, empty, part
         else:
-            starts, ends, hashes = _scan(part, bounds, table) if len(part) <= 2 * PIECE else _long(part, table)
+            starts, ends, hashes = _scan(part, bounds, table, values) if len(part) <= 2 * PIECE else _long(part, table, values)
             yield first, last, np.searchsorted(starts, bounds), hashes, starts, ends, part
         first = last
 
