@@ -214,12 +214,13 @@ def _describe(documents: DataFrame, k: int, percent: int, filters, key: str, tex
                 some = several.holds(flat)
                 often = np.zeros(len(flat), bool)
                 often[some] = frequent.holds(flat[some])
-                sums = [np.concatenate([[0], np.cumsum(mix(flat.view(U) * U(c)))]).astype(U) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(flat.view(U) * U(c)))]) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
                 at = 0
                 for s in group:
                     to = at + len(s)
                     lone, rare, all_rare, pairs = signatures(s, some[at:to], often[at:to], percent)
-                    c1, c2 = (int((x[to] - x[at]).astype(np.int64)) for x in sums)
+                    c1, c2 = (int(x[to : to + 1].view(np.int64)[0]) - int(x[at : at + 1].view(np.int64)[0]) for x in sums)
+                    c1, c2 = ((c + (1 << 63)) % (1 << 64) - (1 << 63) for c in (c1, c2))
                     for column, value in zip(rows, (len(s), c1, c2, lone, rare, all_rare, pairs, s.tobytes() if len(rare) or len(pairs) else None)):
                         column.append(value)
                     at = to
