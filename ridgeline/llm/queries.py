@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, ngram_join, packing, quality, sharding, url_filter
+from . import decontamination, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.link(_table(spark, folder, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
@@ -51,6 +55,6 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op4_url_filter, op5_language_id, op7_sharding, op8_decontamination, op9_license_scan, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_embedding_dedup, op4_url_filter, op5_language_id, op7_sharding, op8_decontamination, op9_license_scan, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
