@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, sharding, url_filter
+from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = chat_format.from_conversations(_table(spark, folder, "conversations"))
+    return chat_format.link(calls, results, chat_format.REPLY)
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"))
 
@@ -55,6 +60,6 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_embedding_dedup, op4_url_filter, op5_language_id, op7_sharding, op8_decontamination, op9_license_scan, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_embedding_dedup, op4_url_filter, op5_language_id, op6_chat_format, op7_sharding, op8_decontamination, op9_license_scan, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
