@@ -10,12 +10,12 @@ from; repeated rows count each time; extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import small_batches
@@ -108,40 +108,35 @@ def _inside(offsets: np.ndarray, size: int, n: int) -> np.ndarray:
     return ok
 
 
-def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str | Column], text: str = "text") -> DataFrame:
-    """The columns of keep with lang_pred and score."""
-    spark = documents.sparkSession
+def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray]) -> Callable[[Column], Column]:
+    """A function of a text column: struct<lang_pred, score>."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = documents.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judge(column: pa.Array) -> pa.Array:
         names, prior, weight = shared.value
         table = np.ascontiguousarray(weight.T)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            pred, score = [], []
-            for first, last, data, offsets in _runs(column):
-                sums, grams = _score(data, offsets, table, len(names))
-                letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-                letters = letters[offsets[1:]] > letters[offsets[:-1]]
-                for k in np.flatnonzero(~letters):
-                    letters[k] = any(c.isalpha() for c in bytes(data[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace"))
-                for k in range(last - first):
-                    if not letters[k] or not names:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    log = sums[k] * min(1.0, EVIDENCE / max(grams[k], 1)) + prior
-                    share = np.exp(log - log.max())
-                    best = int(np.argmax(share))
-                    pred.append(names[best])
-                    score.append(float(share[best] / share.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
-
-    schema = type(kept.schema)(list(fields)).add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(run, schema)
+        pred, score = [], []
+        for first, last, data, offsets in _runs(column):
+            sums, grams = _score(data, offsets, table, len(names))
+            letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+            letters = letters[offsets[1:]] > letters[offsets[:-1]]
+            for k in np.flatnonzero(~letters):
+                letters[k] = any(c.isalpha() for c in bytes(data[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace"))
+            for k in range(last - first):
+                if not letters[k] or not names:
+                    pred.append("und")
+                    score.append(0.0)
+                    continue
+                log = sums[k] * min(1.0, EVIDENCE / max(grams[k], 1)) + prior
+                share = np.exp(log - log.max())
+                best = int(np.argmax(share))
+                pred.append(names[best])
+                score.append(float(share[best] / share.sum()))
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    return judge
 
 
 def _score(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,5 +162,6 @@ def held_out(key: str) -> Column:
 
 def identify(documents: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """key, held_out, lang_pred, score: learns from the documents that aren't held out and judges all."""
-    model = train(documents.where(~held_out(key)), lang, text)
-    return predict(documents, model, [key, held_out(key).alias("held_out")], text)
+    learnt = predictor(documents.sparkSession, train(documents.where(~held_out(key)), lang, text))
+    judged = documents.select(key, held_out(key).alias("_h"), learnt(F.col(text)).alias("_s"))
+    return judged.select(key, F.col("_h").alias("held_out"), "_s.lang_pred", "_s.score")

@@ -12,11 +12,11 @@ extra columns stay out of it; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import small_batches
@@ -200,32 +200,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5
     return w
 
 
-def score(documents: DataFrame, posterior: dict[int, float], weights: np.ndarray | None, keep: list[str | Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of keep with weak_label (posterior of clean), quality (0 to 1) and accepted."""
-    spark = documents.sparkSession
-    small_batches(spark)
+def scorer(spark: SparkSession, posterior: dict[int, float], weights: np.ndarray | None) -> Callable[[Column], Column]:
+    """A function of a text column: struct<weak_label (posterior of clean), quality (0 to 1)>."""
     shared = spark.sparkContext.broadcast((dict(posterior), weights))
-    kept = documents.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<weak_label:double,quality:double>")
+    def judge(column: pa.Array) -> pa.Array:
         known, w = shared.value
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            code, empty = [], []
-            for _, _, bounds, h, s, e, part in words(column, SPACED):
-                code += pattern_code(votes_of(bounds, h, s, e, part)).tolist()
-                empty += (np.diff(bounds) == 0).tolist()
-            weak = np.array([known.get(c, 0.5) for c in code])
-            quality = weak.copy() if w is None else np.array([1 / (1 + np.exp(-np.clip(v @ w[:-1] + w[-1], -30, 30))) for v in _vectors(column, code)])
-            quality[np.array(empty, bool)] = 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weak), pa.array(quality), pa.array(quality >= threshold)], names=[*(f.name for f in fields), "weak_label", "quality", "accepted"])
-
-    schema = type(kept.schema)(list(fields)).add("weak_label", "double").add("quality", "double").add("accepted", "boolean")
-    return kept.mapInArrow(run, schema)
-
-
-def classify(documents: DataFrame, keep: list[str | Column] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """keep (the key by default) with weak_label, quality and accepted for every document."""
+        code, empty = [], []
+        for _, _, bounds, h, s, e, part in words(column, SPACED):
+            code += pattern_code(votes_of(bounds, h, s, e, part)).tolist()
+            empty += (np.diff(bounds) == 0).tolist()
+        weak = np.array([known.get(c, 0.5) for c in code], float)
+        quality = weak.copy() if w is None else np.array([1 / (1 + np.exp(-np.clip(v @ w[:-1] + w[-1], -30, 30))) for v in _vectors(column, code)], float)
+        quality[np.array(empty, bool)] = 0.0
+        return pa.StructArray.from_arrays([pa.array(weak), pa.array(quality)], names=["weak_label", "quality"])
+
+    return judge
+
+
+def learn(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Callable[[Column], Column]:
+    """The scorer that all documents' votes teach."""
     posterior, _, _ = weak_labels(documents, key, text)
-    return score(documents, posterior, fit(documents, posterior, key, text), keep or [key], text)
+    return scorer(documents.sparkSession, posterior, fit(documents, posterior, key, text))
+
+
+def classify(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, weak_label, quality and accepted for every document."""
+    judged = documents.select(key, learn(documents, key, text)(F.col(text)).alias("_s"))
+    return judged.select(key, "_s.weak_label", "_s.quality", (F.col("_s.quality") >= threshold).alias("accepted"))
