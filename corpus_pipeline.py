@@ -1,7 +1,69 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: quality, language, near duplicates, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.llm import decontamination, language_id, ngram_join, packing, quality
+from ridgeline.llm._store import Scratch
+from ridgeline.llm.queries import tokenizer_path
+
+#: A document whose language is surer than this stays; texts without letters go.
+LANGUAGE_SCORE = 0.5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model accepts."""
+    return docs.where(quality.learn(docs)(F.col("text"))["quality"] >= quality.THRESHOLD)
+
+
+def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a known language."""
+    found = language_id.predictor(spark, language_id.train(docs))(F.col("text"))
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LANGUAGE_SCORE))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates (five words, 0.8), once."""
+    work = Scratch(spark, "pipeline-join")
+    linked = work.put("linked", ngram_join.link(docs, k=5, percent=80))
+    kept = docs.join(linked.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = linked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = Scratch(spark, "pipeline-leaks").put("leaks", found.where(F.size("items") > 0).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_identification),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
+
+#: Trained models and a tokenizer decide: SQL can't express it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; each but the last is written and read again."""
+    work = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = work.put(name, stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
