@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,20 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
         work.drop(f"{name}-{turn - 1}", f"{name}-{turn}l")
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the ids of rows (a) and columns (b) of mask as its entries do."""
+    edges, left, right = [], mask.any(1), mask.any(0)
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        rows, left[start] = np.array([start]), False
+        while len(rows):
+            columns = np.flatnonzero(mask[rows].any(0) & right)
+            right[columns] = False
+            edges += [(int(a[start]), int(x)) for x in b[columns]]
+            rows = np.flatnonzero(mask[:, columns].any(1) & left) if len(columns) else columns
+            left[rows] = False
+            edges += [(int(a[start]), int(x)) for x in a[rows]]
+    return edges

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, forest
 from ._store import Scratch, batches_of, small_batches
 
 TILE = 1024
@@ -94,23 +94,6 @@ def links(a: _Tile, b: _Tile, threshold: float) -> np.ndarray:
     return sure
 
 
-def _forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the ids of rows (a) and columns (b) of mask as its entries do."""
-    edges, left, right = [], mask.any(1), mask.any(0)
-    for start in np.flatnonzero(left):
-        if not left[start]:
-            continue
-        rows, left[start] = np.array([start]), False
-        while len(rows):
-            columns = np.flatnonzero(mask[rows].any(0) & right)
-            right[columns] = False
-            edges += [(int(a[start]), int(x)) for x in b[columns]]
-            rows = np.flatnonzero(mask[:, columns].any(1) & left) if len(columns) else columns
-            left[rows] = False
-            edges += [(int(a[start]), int(x)) for x in a[rows]]
-    return edges
-
-
 def _pair_rows(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +107,7 @@ def _pair_rows(threshold: float):
                 if same:
                     np.fill_diagonal(mask, False)
                 counts = [(one, mask @ two.copies)] + ([] if same else [(two, mask.T @ one.copies)])
-                edges = _forest(mask, one.reps, two.reps)
+                edges = forest(mask, one.reps, two.reps)
                 first = np.concatenate([t.reps[n > 0] for t, n in counts] + [np.array([e[0] for e in edges], np.int64)])
                 second = np.concatenate([np.zeros(sum(int((n > 0).sum()) for _, n in counts), np.int64), np.array([e[1] for e in edges], np.int64)])
                 number = np.concatenate([n[n > 0] for _, n in counts] + [np.zeros(len(edges), np.int64)])

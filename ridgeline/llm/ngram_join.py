@@ -14,9 +14,13 @@ Which tokens are lone or frequent is counted over all documents; the answer trav
 A false positive only moves a token to a more frequent class, which is still a valid class for every document,
 so results stay exact at any size.
 
-Equal sets are one class from the start. Then each class is checked against the hub of its lists that it meets most,
-which joins large groups with as many checks as members; after that, all pairs of different components in a list
-are candidates, pruned by length and by the number of shared prefix tokens, and verified on the whole sets.
+Equal sets are one class from the start. Then each class is checked against the hub of its lists that it meets most (a
+list's hub is its member that shares most with others), which joins most of a large group with as many checks as
+members. After that, what lists still hold together across components is decided exactly. Lists of rare tokens are
+short: their pairs are pruned by length and by the number of shared prefix tokens, and verified on the whole sets.
+Lists of token pairs may be long: their members are dealt into families (by hub) and tiles, and any two tiles
+of families that share a list are verified as blocks, by one product of their token matrices; pairs aren't
+emitted, only a spanning forest of the links. Tiles of one component aren't compared with each other.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; rows that repeat an id are one
 node; ties don't matter (components are sets); very long texts are whole sets; extra columns are ignored; an
@@ -32,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
-from ._store import Scratch, small_batches
+from ._graph import components, forest
+from ._store import Scratch, batches_of, small_batches
 from ._text import SPACED, U, mix, sequence_hash, words
 
 #: A token of at least so many documents is frequent.
@@ -42,6 +46,8 @@ FREQUENT = 16
 BUCKET_BITS = 10
 #: Each of the two Bloom filters has so many bits at most.
 FILTER_BITS = 1 << 29
+#: A tile holds about so many sets, or so many tokens, at most; a token matrix so many numbers.
+TILE_SETS, TILE_TOKENS, MATRIX = 256, 500_000, 4_000_000
 #: A task sorts so many tokens at a time before it sends them.
 CHUNK = 2_000_000
 
@@ -284,6 +290,76 @@ def _cross(signed: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
 
 
+TILES = "tile long, ids binary, sizes binary, tokens binary"
+
+
+def _tile(group: pa.Table) -> pa.Table:
+    sets = [np.frombuffer(x.as_py(), np.int64) for x in group["tokens"]]
+    blobs = (group["id"].to_numpy().astype(np.int64), np.array([len(s) for s in sets], np.int64), np.concatenate(sets))
+    return pa.table({"tile": group["tile"].slice(0, 1)} | {n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(("ids", "sizes", "tokens"), blobs)})
+
+
+def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of x's sets with y's (sizes, tokens), over slices of their common tokens."""
+    common = np.intersect1d(x[1], y[1])
+    rows = [np.repeat(np.arange(len(s)), s) for s, _ in (x, y)]
+    places = [np.searchsorted(common, t) for _, t in (x, y)]
+    out = np.zeros((len(x[0]), len(y[0])), np.float32)
+    if not len(common):
+        return out
+    held = [common[np.minimum(p, len(common) - 1)] == t for p, (_, t) in zip(places, (x, y))]
+    width = max(64, MATRIX // max(len(x[0]), len(y[0])))
+    for at in range(0, len(common), width):
+        parts = []
+        for (sizes, _), row, place, ok in zip((x, y), rows, places, held):
+            mine = ok & (place >= at) & (place < at + width)
+            matrix = np.zeros((len(sizes), min(width, len(common) - at)), np.float32)
+            matrix[row[mine], place[mine] - at] = 1
+            parts.append(matrix)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _by_tiles(often: DataFrame, met: DataFrame, known: DataFrame, sets: DataFrame, work: Scratch, percent: int) -> DataFrame:
+    """Edges (a, b) that join what lists of token pairs hold together and components don't."""
+    kind = dict(often.dtypes)["id"]
+    home = met.groupBy("id").agg(F.max_by("hub.id", F.struct("k", "hub.id")).alias("family"))
+    members = often.select("id", "n").distinct().join(home, "id").join(known, "id", "left").select("id", "n", "family", F.coalesce("_c", "id").alias("c"))
+    members = work.put("members", members)
+    major = members.groupBy("family", "c").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts"))
+    sized = members.join(major, "family").withColumn("same", F.col("c") == F.col("major"))
+    parts = sized.groupBy("family", "same").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles"), F.first("major").alias("major"))
+    dealt = sized.join(parts.select("family", "same", "tiles"), ["family", "same"]).select("id", "family", "c", F.xxhash64("family", "same", F.pmod(F.xxhash64("id"), "tiles")).alias("tile"))
+    dealt = work.put("dealt", dealt)
+    # families that share a list, and each family that isn't one component
+    shared = often.join(members.select("id", "family"), "id").select("sig", "family").distinct()
+    several = shared.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    shared = shared.join(several, "sig")
+    cross = shared.join(shared.withColumnRenamed("family", "other"), "sig").where("family < other").select("family", "other").distinct()
+    own = major.where("parts > 1").select("family", F.col("family").alias("other"))
+    of = parts.select("family", "same", "major", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("family", "major", "same", F.xxhash64("family", "same", F.col("t")).alias("tile"))
+    one, two = of.select("family", F.col("major").alias("m1"), F.col("same").alias("s1"), F.col("tile").alias("t1")), of.select(F.col("family").alias("other"), F.col("major").alias("m2"), F.col("same").alias("s2"), F.col("tile").alias("t2"))
+    pairs = cross.unionByName(own).join(one, "family").join(two, "other").where("not (s1 and s2 and m1 = m2)").where("family <> other or t1 <= t2").select("t1", "t2").distinct()
+    pairs = work.put("tile_pairs", pairs)
+    wanted = pairs.select(F.explode(F.array("t1", "t2")).alias("tile")).distinct()
+    tiles = work.put("tiles", dealt.join(wanted, "tile", "left_semi").join(sets, "id").select("tile", "id", "tokens").groupBy("tile").applyInArrow(_tile, TILES))
+    side = lambda k: tiles.select(*(F.col(c).alias(f"t{k}" if c == "tile" else f"{c}{k}") for c in tiles.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = []
+            for r in range(batch.num_rows):
+                ids1, n1, x, ids2, n2, y = (np.frombuffer(batch.column(k)[r].as_buffer(), np.int64) for k in range(6))
+                both = _overlaps((n1, x), (n2, y))
+                edges += forest(100 * both >= percent * (n1[:, None] + n2[None, :] - both), ids1, ids2)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    rows = pairs.join(side(1), "t1").join(side(2), "t2").select("ids1", "sizes1", "tokens1", "ids2", "sizes2", "tokens2")
+    with batches_of(work.spark, 4):
+        found = work.put("tile_links", rows.mapInArrow(run, "a long, b long"))
+    return found.where("a <> b").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+
+
 def link(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id for every row of documents."""
     spark = documents.sparkSession
@@ -297,23 +373,27 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id
     sets = docs.where("tokens is not null").select("id", "tokens")
     rare, often = (nodes.select(F.explode(c).alias("sig"), "id", "n").distinct() for c in ("rare", "often"))
 
-    # hubs: each node meets the smallest node of its lists; the one that it meets most is checked
+    # hubs: each node is checked against the hub that it meets in most of its lists
     both = rare.unionByName(often)
-    hubs = both.groupBy("sig").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    met = both.join(hubs, "sig").where("id <> hub.id").where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-    best = met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+    lists = both.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
+    scores = both.join(lists, "sig").groupBy("id").agg(F.sum("k").alias("score"))
+    ranked = work.put("ranked", both.join(scores, "id"))
+    hubs = ranked.groupBy("sig").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    met = work.put("met", ranked.join(hubs, "sig").groupBy("id", "n", "hub").agg(F.count("*").alias("k")))
+    close = met.where("id <> hub.id").where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+    best = close.groupBy("id").agg(F.max_by("hub.id", F.struct("k", "hub.id")).alias("hub"))
     stars = work.put("stars", verify(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, percent))
     first = work.put("first", components(stars, work, "cc1"))
 
     # what lists still join across components, exactly
     known = first.withColumnsRenamed({"node": "id", "component": "_c"})
-    placed = lambda t: t.join(known, "id", "left").select("sig", "id", "n", F.coalesce("_c", "id").alias("c"))
+    placed = rare.join(known, "id", "left").select("sig", "id", "n", F.coalesce("_c", "id").alias("c"))
     about = nodes.select("id", "n", F.col("lone").alias("lone"), F.size("rare").alias("r"), F.coalesce(F.try_element_at("rare", F.lit(-1)), F.lit(-(1 << 63))).alias("last"), F.col("all_rare").alias("all")).distinct()
     side = lambda x: about.select(*(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in about.columns))
-    singles = _cross(placed(rare), percent).join(side("a"), "a").join(side("b"), "b").where(_enough(percent)).select("a", "b")
-    doubles = _cross(placed(often), percent).select("a", "b")
-    rest = work.put("rest", verify(work.put("candidates", singles.unionByName(doubles).distinct()), sets, percent))
-    joined = rest.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    singles = _cross(placed, percent).join(side("a"), "a").join(side("b"), "b").where(_enough(percent)).select("a", "b")
+    rest = work.put("rest", verify(work.put("candidates", singles), sets, percent))
+    blocks = work.put("blocks", _by_tiles(often, met, known, sets, work, percent))
+    joined = rest.unionByName(blocks).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
     final = work.put("final", components(joined, work, "cc2"))
 
     members = docs.where("n > 0").select("id", "n", "c1", "c2").join(reps, ["c1", "c2"]).select("id", "n", "rep")
