@@ -1 +1 @@
-
+"""Relational operators on road tables. Each takes and returns DataFrames."""

@@ -1 +1 @@
-
+"""Composite plans: graph building, path search, route requests."""

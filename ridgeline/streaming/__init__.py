@@ -1 +1 @@
-
+"""Stateful operators: request limits and resumable ingest."""
