@@ -49,14 +49,15 @@ HOST_RULES = (
 )
 
 PATTERN_RULES = (
-    PatternRule("casino", "block", r"://([a-z0-9-]+\.)*[a-z0-9-]*casino-win\.", ("casino", "win")),
-    PatternRule("bets", "block", r"://([a-z0-9-]+\.)*free-bets\.", ("free", "bets")),
-    PatternRule("pills", "block", r"://([a-z0-9-]+\.)*cheap-pills\.", ("cheap", "pills")),
-    PatternRule("spam", "block", r"://([a-z0-9-]+\.)*spam-farm\.", ("spam", "farm")),
-    PatternRule("adult", "block", r"://([a-z0-9-]+\.)*adult-x\.", ("adult", "x")),
-    PatternRule("ads", "block", r"://([a-z0-9-]+\.)*ads-track\.", ("ads", "track")),
-    PatternRule("feed-page", "allow", r"[?&]page=[0-9]+(&|#|$)", ("page",)),
-    PatternRule("logout", "block", r"[?&/](logout|session=[0-9a-f]{8,})(&|#|/|$)", ("logout",)),
+    PatternRule("casino", "block", r"[/.-]casino-win\.", ("casino", "win")),
+    PatternRule("bets", "block", r"[/.-]free-bets\.", ("free", "bets")),
+    PatternRule("pills", "block", r"[/.-]cheap-pills\.", ("cheap", "pills")),
+    PatternRule("spam", "block", r"[/.-]spam-farm\.", ("spam", "farm")),
+    PatternRule("adult", "block", r"[/.-]adult-x\.", ("adult", "x")),
+    PatternRule("ads", "block", r"[/.-]ads-track\.", ("ads", "track")),
+    PatternRule("pager", "allow", r"[?&]page=[0-9]+(&|#|$)", ("page",)),
+    PatternRule("logout", "block", r"[?&/]logout(&|#|/|$)", ("logout",)),
+    PatternRule("session", "block", r"[?&]session=[0-9a-f]{8,}(&|#|$)", ("session",)),
 )
 
 #: So many pattern rules at most stand in the plan as a map; more are joined by token.
