@@ -21,12 +21,11 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
         seen, turn = state, turn + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = work.put(f"{name}-{turn}l", large)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = work.put(f"{name}-{turn}", small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        work.drop(f"{name}-{turn - 1}", f"{name}-{turn}l")
+        work.drop(f"{name}-{turn - 1}")
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -199,7 +199,7 @@ def signatures(s: np.ndarray, several: np.ndarray, frequent: np.ndarray, percent
     return lone, rare, True, np.unique(np.concatenate(combined)) if combined else none
 
 
-DOCS = "n long, c1 long, c2 long, lone int, rare array<long>, all_rare boolean, often array<long>, tokens binary"
+DOCS = "n long, c1 long, c2 long, lone int, odd int, rare array<long>, all_rare boolean, often array<long>, tokens binary"
 
 
 def _describe(documents: DataFrame, k: int, percent: int, filters, key: str, text: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _describe(documents: DataFrame, k: int, percent: int, filters, key: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, frequent = shared.value
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(9)]
             group: list[np.ndarray] = []
 
             def settle():
@@ -227,7 +227,7 @@ def _describe(documents: DataFrame, k: int, percent: int, filters, key: str, tex
                     lone, rare, all_rare, pairs = signatures(s, some[at:to], often[at:to], percent)
                     c1, c2 = (int(x[to : to + 1].view(np.int64)[0]) - int(x[at : at + 1].view(np.int64)[0]) for x in sums)
                     c1, c2 = ((c + (1 << 63)) % (1 << 64) - (1 << 63) for c in (c1, c2))
-                    for column, value in zip(rows, (len(s), c1, c2, lone, rare, all_rare, pairs, s.tobytes() if len(rare) or len(pairs) else None)):
+                    for column, value in zip(rows, (len(s), c1, c2, lone, to - at - int(often[at:to].sum()), rare, all_rare, pairs, s.tobytes() if len(rare) or len(pairs) else None)):
                         column.append(value)
                     at = to
                 group.clear()
@@ -240,7 +240,7 @@ def _describe(documents: DataFrame, k: int, percent: int, filters, key: str, tex
                     settle()
                     size = 0
             settle()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=["id", *(c.split()[0] for c in DOCS.split(", "))])
 
     schema = f"id {fields[0].dataType.simpleString()}, {DOCS}"
@@ -269,10 +269,6 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _close(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-
 def _enough(percent: int):
     """Whether two sets' shared rare prefix tokens leave room for the overlap that they need."""
     need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent) - 1e-9)
@@ -280,14 +276,16 @@ def _enough(percent: int):
     return fits("a", "b") & fits("b", "a")
 
 
-def _cross(signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with how many signatures they share, over lists in which several components meet."""
-    by = signed.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("c", "k").alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    rows = signed.join(by.select("sig", "major"), "sig")
-    one = rows.where("c <> major").select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    two = rows.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), (F.col("c") == F.col("major")).alias("in_major"))
-    pairs = one.join(two, "sig").where((F.col("ca") != F.col("cb")) & (F.col("in_major") | (F.col("a") < F.col("b"))) & _close("na", "nb", percent))
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
+def _pairs_of_lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of different components that share enough rare tokens. A list holds under FREQUENT nodes, for its
+    token is in so few documents; it is paired in place."""
+    entry = F.struct("id", "n", "c", "lone", "r", "last", "all")
+    lists = nodes.select(F.explode("rare").alias("sig"), entry.alias("x")).groupBy("sig").agg(F.array_sort(F.collect_list("x")).alias("xs")).where("size(xs) > 1")
+    rest = lambda x, k: F.filter(F.slice("xs", k + 2, F.size("xs")), lambda y: (y["c"] != x["c"]) & (y["id"] != x["id"]) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent))
+    pairs = F.flatten(F.transform("xs", lambda x, k: F.transform(rest(x, k), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    each = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    flat = each.select("shared", *(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("id", "n", "lone", "r", "last", "all")))
+    return flat.where(_enough(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 TILES = "tile long, ids binary, sizes binary, tokens binary"
@@ -320,28 +318,24 @@ def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _by_tiles(often: DataFrame, met: DataFrame, known: DataFrame, sets: DataFrame, work: Scratch, percent: int) -> DataFrame:
+def _by_tiles(nodes: DataFrame, sets: DataFrame, work: Scratch, percent: int) -> DataFrame:
     """Edges (a, b) that join what lists of token pairs hold together and components don't."""
-    kind = dict(often.dtypes)["id"]
-    home = met.groupBy("id").agg(F.max_by("hub.id", F.struct("k", "hub.id")).alias("family"))
-    members = often.select("id", "n").distinct().join(home, "id").join(known, "id", "left").select("id", "n", "family", F.coalesce("_c", "id").alias("c"))
-    members = work.put("members", members)
-    major = members.groupBy("family", "c").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("parts"))
-    sized = members.join(major, "family").withColumn("same", F.col("c") == F.col("major"))
-    parts = sized.groupBy("family", "same").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles"), F.first("major").alias("major"))
-    dealt = sized.join(parts.select("family", "same", "tiles"), ["family", "same"]).select("id", "family", "c", F.xxhash64("family", "same", F.pmod(F.xxhash64("id"), "tiles")).alias("tile"))
-    dealt = work.put("dealt", dealt)
+    members = nodes.where("size(often) > 0").withColumn("same", F.col("c") == F.col("family"))
+    sizes = members.groupBy("family", "same").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles"))
+    parts = work.put("parts", sizes)
+    tile = lambda k: F.xxhash64("family", "same", k)
     # families that share a list, and each family that isn't one component
-    shared = often.join(members.select("id", "family"), "id").select("sig", "family").distinct()
-    several = shared.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-    shared = shared.join(several, "sig")
+    shared = members.select(F.explode("often").alias("sig"), "family").distinct()
     cross = shared.join(shared.withColumnRenamed("family", "other"), "sig").where("family < other").select("family", "other").distinct()
-    own = major.where("parts > 1").select("family", F.col("family").alias("other"))
-    of = parts.select("family", "same", "major", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("family", "major", "same", F.xxhash64("family", "same", F.col("t")).alias("tile"))
-    one, two = of.select("family", F.col("major").alias("m1"), F.col("same").alias("s1"), F.col("tile").alias("t1")), of.select(F.col("family").alias("other"), F.col("major").alias("m2"), F.col("same").alias("s2"), F.col("tile").alias("t2"))
-    pairs = cross.unionByName(own).join(one, "family").join(two, "other").where("not (s1 and s2 and m1 = m2)").where("family <> other or t1 <= t2").select("t1", "t2").distinct()
-    pairs = work.put("tile_pairs", pairs)
+    of = parts.select("family", "same", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("family", "same", tile(F.col("t")).alias("tile"))
+    one, two = of.withColumnsRenamed({"same": "s1", "tile": "t1"}), of.withColumnsRenamed({"family": "other", "same": "s2", "tile": "t2"})
+    own = one.join(two, F.col("family") == F.col("other")).where("not (s1 and s2) and t1 <= t2").select("t1", "t2")
+    pairs = work.put("tile_pairs", cross.join(one, "family").join(two, "other").select("t1", "t2").unionByName(own))
+    kind = dict(nodes.dtypes)["id"]
+    if pairs.isEmpty():
+        return nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
     wanted = pairs.select(F.explode(F.array("t1", "t2")).alias("tile")).distinct()
+    dealt = members.join(parts, ["family", "same"]).select("id", tile(F.pmod(F.xxhash64("id"), "tiles")).alias("tile"))
     tiles = work.put("tiles", dealt.join(wanted, "tile", "left_semi").join(sets, "id").select("tile", "id", "tokens").groupBy("tile").applyInArrow(_tile, TILES))
     side = lambda k: tiles.select(*(F.col(c).alias(f"t{k}" if c == "tile" else f"{c}{k}") for c in tiles.columns))
 
@@ -367,36 +361,35 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id
     work = Scratch(spark, "ngram-join")
     filters = classes(documents.select(F.col(text).alias("text")), k)
     docs = work.put("docs", _describe(documents, k, percent, filters, key, text))
-    reps = docs.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    nodes = docs.where("tokens is not null").select("id", "n", "lone", "rare", "all_rare", "often").join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    nodes = work.put("nodes", nodes)
-    sets = docs.where("tokens is not null").select("id", "tokens")
-    rare, often = (nodes.select(F.explode(c).alias("sig"), "id", "n").distinct() for c in ("rare", "often"))
+    held = ("id", "n", "lone", "odd", "rare", "all_rare", "often", "tokens")
+    reps = docs.where("n > 0").groupBy("c1", "c2").agg(F.min_by(F.struct(*held), "id").alias("r")).select("c1", "c2", "r.*")
+    reps = work.put("reps", reps)
+    sets = reps.where("tokens is not null").select("id", "tokens")
+    nodes = reps.where("tokens is not null").select("id", "n", "lone", "odd", "rare", "all_rare", "often")
 
     # hubs: each node is checked against the hub that it meets in most of its lists
-    both = rare.unionByName(often)
-    lists = both.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
-    scores = both.join(lists, "sig").groupBy("id").agg(F.sum("k").alias("score"))
-    ranked = work.put("ranked", both.join(scores, "id"))
-    hubs = ranked.groupBy("sig").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    met = work.put("met", ranked.join(hubs, "sig").groupBy("id", "n", "hub").agg(F.count("*").alias("k")))
-    close = met.where("id <> hub.id").where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-    best = close.groupBy("id").agg(F.max_by("hub.id", F.struct("k", "hub.id")).alias("hub"))
-    stars = work.put("stars", verify(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, percent))
-    first = work.put("first", components(stars, work, "cc1"))
+    listed = nodes.select(F.explode(F.concat("rare", "often")).alias("sig"), "id", "n", "odd")
+    hubs = listed.groupBy("sig").agg(F.min_by(F.struct("id", "n"), F.struct("odd", "id")).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    met = listed.select("sig", "id", "n").join(hubs.select("sig", "hub"), "sig").groupBy("id", "n", "hub").agg(F.count("*").alias("k"))
+    close = (F.col("id") != F.col("hub.id")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+    rank = F.struct("k", -F.col("hub.id"))
+    homes = work.put("homes", met.groupBy("id").agg(F.max_by("hub.id", rank).alias("family"), F.max_by(F.when(close, F.col("hub.id")), F.when(close, rank)).alias("hub")))
+    stars = work.put("stars", verify(homes.where("hub is not null").select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, percent))
+
+    # a component so far: a hub, or who links with it
+    joined_to = homes.join(stars, homes["id"] == stars["a"], "left").join(stars.select(F.col("b").alias("h")).distinct(), homes["id"] == F.col("h"), "left")
+    labels = joined_to.select("id", "family", F.when(F.col("h").isNotNull(), F.col("id")).otherwise(F.coalesce("b", "id")).alias("c"))
+    last = F.coalesce(F.try_element_at("rare", F.lit(-1)), F.lit(-(1 << 63))).alias("last")
+    nodes = work.put("nodes", nodes.select("id", "n", "lone", F.size("rare").alias("r"), last, F.col("all_rare").alias("all"), "rare", "often").join(labels, "id"))
 
     # what lists still join across components, exactly
-    known = first.withColumnsRenamed({"node": "id", "component": "_c"})
-    placed = rare.join(known, "id", "left").select("sig", "id", "n", F.coalesce("_c", "id").alias("c"))
-    about = nodes.select("id", "n", F.col("lone").alias("lone"), F.size("rare").alias("r"), F.coalesce(F.try_element_at("rare", F.lit(-1)), F.lit(-(1 << 63))).alias("last"), F.col("all_rare").alias("all")).distinct()
-    side = lambda x: about.select(*(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in about.columns))
-    singles = _cross(placed, percent).join(side("a"), "a").join(side("b"), "b").where(_enough(percent)).select("a", "b")
-    rest = work.put("rest", verify(work.put("candidates", singles), sets, percent))
-    blocks = work.put("blocks", _by_tiles(often, met, known, sets, work, percent))
-    joined = rest.unionByName(blocks).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    final = work.put("final", components(joined, work, "cc2"))
-
-    members = docs.where("n > 0").select("id", "n", "c1", "c2").join(reps, ["c1", "c2"]).select("id", "n", "rep")
-    found = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    singles = work.put("candidates", _pairs_of_lists(nodes, percent))
+    rest = work.put("rest", verify(singles, sets, percent))
+    blocks = _by_tiles(nodes, sets, work, percent)
+    joined = stars.unionByName(rest).unionByName(blocks)
+    final = components(joined, work, "cc")
+
+    named = reps.select("c1", "c2", F.col("id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    found = docs.where("n > 0").select("id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("id", "n", "component")
     alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return found.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
