@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import Scratch, small_batches
 from ._text import PIECE, U, byte_views
 
 #: Hashed n-grams; what a task or the model holds is so many numbers for each language.
@@ -55,11 +55,12 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = last
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """data whole, or for one long text pieces that share what n-grams span."""
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """data whole, or for one long text pieces; with each, how many of its first bytes n-grams may begin at (what
+    follows them in a piece only ends n-grams)."""
     step = 2 * PIECE
     for at in range(0, max(1, len(data)), step):
-        yield data[at : at + step + max(SIZES) - 1]
+        yield step, data[at : at + step + max(SIZES) - 1]
 
 
 def train(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -75,10 +76,9 @@ def train(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple
                 total = totals.setdefault(name, np.zeros(WIDTH, np.int64))
                 texts[name] = texts.get(name, 0) + len(own)
                 for first, last, data, offsets in _runs(own):
-                    for part in _pieces(data):
+                    for step, part in _pieces(data):
                         for n, g in zip(SIZES, _grams(part)):
-                            if last - first > 1:
-                                g = g[_inside(offsets, len(part), n)]
+                            g = g[_inside(offsets, len(part), n)] if last - first > 1 else g[:step]
                             total += np.bincount(g, minlength=WIDTH)
         names = list(totals)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([texts[n] for n in names], pa.int64()), pa.array([totals[n].tobytes() for n in names], pa.binary())], names=["lang", "texts", "counts"])
@@ -90,9 +90,10 @@ def train(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple
     schema = "lang string, texts long, counts binary"
     rows = documents.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     parts = rows.mapInArrow(count, schema)
-    if parts.select("lang").distinct().count() > MAX_LANGUAGES:
+    summed = Scratch(documents.sparkSession, "language-id").put("counts", parts.groupBy("lang").applyInArrow(add, schema))
+    if summed.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = sorted(parts.groupBy("lang").applyInArrow(add, schema).collect(), key=lambda r: r.lang)  # a row for each language
+    found = sorted(summed.collect(), key=lambda r: r.lang)  # a row for each language
     names = [r.lang for r in found]
     counts = np.array([np.frombuffer(r.counts, np.int64) for r in found], float).reshape(len(found), WIDTH)
     seen = np.array([r.texts for r in found], float)
@@ -143,9 +144,10 @@ def _score(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, langs: int)
     """Each row's sum of log-probabilities by language, and its number of n-grams."""
     rows = len(offsets) - 1
     sums, grams = np.zeros((rows, langs)), np.zeros(rows)
-    for part in _pieces(data):
+    for step, part in _pieces(data):
         for n, g in zip(SIZES, _grams(part)):
             at = offsets if rows > 1 else np.array([0, len(part)])
+            g = g if rows > 1 else g[:step]
             low, high = at[:-1], np.maximum(at[1:] - n + 1, at[:-1])
             for k in range(langs):
                 run = np.zeros(len(g) + 1)
