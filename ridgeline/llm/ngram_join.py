@@ -323,7 +323,7 @@ def _by_tiles(nodes: DataFrame, sets: DataFrame, work: Scratch, percent: int) ->
     members = nodes.where("size(often) > 0").withColumn("same", F.col("c") == F.col("family"))
     sizes = members.groupBy("family", "same").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles"))
     parts = work.put("parts", sizes)
-    tile = lambda k: F.xxhash64("family", "same", k)
+    tile = lambda k: F.xxhash64("family", "same", k.cast("long"))
     # families that share a list, and each family that isn't one component
     shared = members.select(F.explode("often").alias("sig"), "family").distinct()
     cross = shared.join(shared.withColumnRenamed("family", "other"), "sig").where("family < other").select("family", "other").distinct()
