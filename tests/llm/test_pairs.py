@@ -90,7 +90,7 @@ def test_odd_documents(spark):
     got = {}
     for r in ngram_join.link(frames.docs(spark), 5, 80).collect():
         got.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
-    assert got[1] == got[2] == {(15, 1)} and got[4] == {(0, 4)} and got[5] == {(0, 5)} and got[6] == {(0, 6)}
+    assert got[1] == got[2] == {(16, 1)} and got[4] == {(0, 4)} and got[5] == {(0, 5)} and got[6] == {(0, 6)}
     assert got[9] == {(1, 9)} and got[10] == {(1, 9)} and {c for _, c in got[8]} == {7}
     assert ngram_join.link(frames.empty(spark)).count() == 0
 
