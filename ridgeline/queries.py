@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import geo, tags, wkt
 from ridgeline.operators import access, elevation, graph, itinerary, nearest, paths, profiles, relational, requests, restrictions
 from ridgeline.plans import search
-from ridgeline.sources import files, grid
+from ridgeline.sources import files, grid, osm
 from ridgeline.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,6 +346,61 @@ def path_hash(spark, folder):
     return _lines(spark, folder).select("id", geo.rolling_hash("h").alias("hash"))
 
 
+@query("select w.id, " + " + ".join(f"(w.{k} is not null)::int" for k in grid.TAGS if k not in ("ford", "route")) + " as tags from ways w")
+def tag_cleanup(spark, folder):
+    """A4, with other names than the usual ones."""
+    return _Road(spark, folder).ways.select("id", F.size(tags.clean(F.col("tags"), ("ford", "route"))).alias("tags"))
+
+
+@query("select e.id, round(a.lon, 6) as lon1, round(a.lat, 6) as lat1, round(b.lon, 6) as lon2, round(b.lat, 6) as lat2 from edges e join nodes a on a.id = e.u join nodes b on b.id = e.v")
+def edge_dump(spark, folder):
+    """A19."""
+    road = _Road(spark, folder)
+    return paths.edge_lines(road.directed, road.nodes).select("id", *(F.round(c, 6).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")))
+
+
+@query("select a.did * 100000 + b.did as path_id, 5 as points, round(x.lon, 4) as lon1, round(x.lat, 4) as lat1, round(z.lon, 4) as lon2, round(z.lat, 4) as lat2 from directed a join directed b on a.v = b.u join nodes x on x.id = a.u join nodes z on z.id = b.v where a.did < 400")
+def path_line(spark, folder):
+    """Two edges each, joined at their common point."""
+    road = _Road(spark, folder)
+    turns = restrictions.allowed_turns(road.directed, road.banned.where("false")).where("from_did < 400")
+    found = paths.line(paths.steps(turns.select((F.col("from_did") * 100000 + F.col("to_did")).alias("path_id"), F.array("from_did", "to_did").alias("edges"))), road.geometry)
+    ends = [F.round(F.element_at("points", k)[c], 4).alias(f"{c}{n}") for n, k in ((1, 1), (2, -1)) for c in ("lon", "lat")]
+    return found.select("path_id", F.size("points").alias("points"), *ends)
+
+
+@query(_RELATIONS + " select relation_id, restriction, via_type, from_id, via_id, to_id from relations")
+def osm_restrictions(spark, folder):
+    """A2: relations with members, roles out of order and one repeated."""
+    turns = grid.turn_relations(_Road(spark, folder).directed)
+    member = lambda kind, ref, role: F.struct(kind.alias("type"), ref.cast("long").alias("ref"), F.lit(role).alias("role"))
+    raw = turns.select(F.col("relation_id").alias("id"), F.create_map(F.lit("type"), F.lit("restriction"), F.lit("restriction"), F.col("restriction")).alias("tags"), F.array(member(F.lit("w"), F.lit(-1), "to"), member(F.col("via_type"), F.col("via_id"), "via"), member(F.lit("w"), F.col("to_id"), "to"), member(F.lit("w"), F.col("from_id"), "from")).alias("members"))
+    return osm.restrictions(raw).select("relation_id", "restriction", "via_type", "from_id", "via_id", "to_id")
+
+
+@query(_RELATIONS + ", by_way as (select via_id, count(*) as n, min(relation_id) as first from relations where via_type = 'w' group by 1) select e.id, coalesce(n, 0) as relations, coalesce(first, -1) as first from edges e left join by_way on via_id = e.id")
+def way_relations(spark, folder):
+    """A1, A3."""
+    road = _Road(spark, folder)
+    found = osm.with_relations(road.edges.select("id"), grid.turn_relations(road.directed))
+    return found.select("id", F.coalesce(F.size("relation_ids"), F.lit(0)).cast("long").alias("relations"), F.coalesce(F.get("relation_ids", F.lit(0)), F.lit(-1)).alias("first"))
+
+
+@query("select id, elevation from nodes")
+def elevation_lookup(spark, folder):
+    """A10, A11."""
+    nodes = _Road(spark, folder).nodes
+    return elevation.lookup(nodes.select("id", "lon", "lat"), nodes.select("lon", "lat", "elevation")).select("id", "elevation")
+
+
+@query("select o_orderkey as id, (case when o_orderkey % 2 = 0 then ['a', 'b'] else ['x', '', 'z'] end)[-1] as last, (case when o_orderkey % 2 = 0 then 2 else 3 end)::int as fields from orders where o_orderkey < 200", grid=False)
+def csv_split(spark, folder):
+    """A14."""
+    rows = _table(spark, folder, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a,b,").otherwise("x,,z").alias("line"))
+    fields = files.split_line(F.col("line"))
+    return rows.select("id", F.element_at(fields, -1).alias("last"), F.size(fields).alias("fields"))
+
+
 # --- pages and markers -------------------------------------------------------------------------------------------------
 
 
@@ -361,6 +416,27 @@ def resume_marker(spark, folder):
     return relational.last_key(_table(spark, folder, "orders"), "o_orderkey")
 
 
+@query("select (select count(*) from orders where o_orderkey > 1000) as n, (select 3 * count(*) from edges) as points")
+def remaining_counts(spark, folder):
+    """D1, D2."""
+    counted = relational.row_count(_table(spark, folder, "orders"), 1000, "o_orderkey")
+    return counted.join(relational.point_total(_Road(spark, folder).geometry).withColumnRenamed("n", "points"), F.lit(True))
+
+
+@query(f"select round(max({_ANGLE.replace('a.lat', '42.0').replace('a.lon', '-72.0')}) * 6371000) as metres from nodes b")
+def ball_radius(spark, folder):
+    """D11."""
+    found = relational.radius(_Road(spark, folder).nodes, -72.0, 42.0)
+    return found.select(F.round(F.col("radius_cm") / 100).alias("metres"))
+
+
+@query("select n_nationkey as id, round(n_nationkey / 7.0, 5) = round(n_nationkey / 7.0 + 0.000001, 5) as same from nation", grid=False)
+def same_location(spark, folder):
+    """B14."""
+    at = F.col("n_nationkey") / 7.0
+    return _table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), itinerary.same_place(at, F.lit(1.0), at + 0.000001, F.lit(1.0)).alias("same"))
+
+
 @query("select round(avg(lon), 6) as lon, round(avg(lat), 6) as lat, round(var_pop(lon) * count(*), 6) as lon_spread, round(var_pop(lat) * count(*), 6) as lat_spread, case when var_pop(lon) > var_pop(lat) then 'lon' else 'lat' end as axis from nodes")
 def point_spread(spark, folder):
     """D10, F3."""
