@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontamination, language_id, ngram_join, packing, quality
+from ridgeline.llm._ids import without
 from ridgeline.llm._store import Scratch
 from ridgeline.llm.queries import tokenizer_path
 
@@ -31,7 +32,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document of the smallest id of each group of near duplicates (five words, 0.8), once."""
     work = Scratch(spark, "pipeline-join")
     linked = work.put("linked", ngram_join.link(docs, k=5, percent=80))
-    kept = docs.join(linked.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = without(docs, work.put("dropped", linked.where("doc_id <> component_id").select("doc_id")), "doc_id")
     repeated = linked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
 
@@ -40,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents that hold no window of a benchmark item."""
     found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = Scratch(spark, "pipeline-leaks").put("leaks", found.where(F.size("items") > 0).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, leaks, "doc_id")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
