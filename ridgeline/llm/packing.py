@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-A document's hashed words are projected to ``DIMENSIONS`` coordinates (random signs), each made even by the normal
-distribution's function, and their Hilbert key orders the documents: like ones become neighbours. Documents are
+A document's hashed words are projected to ``DIMENSIONS`` coordinates (random signs), scaled to its norm, each made even
+by the normal distribution's function, and their Hilbert key orders the documents: like ones become neighbours. Documents are
 range-partitioned and sorted by that key (then by id and checksum, so that equal texts can be split over partitions),
 and each partition packs its documents one after another into sequences, cutting where a sequence is full. What is left
 at a partition's end is cut into powers of two, which need no padding.
@@ -32,6 +32,8 @@ from ._text import SPACED, U, mix, words
 LENGTH = 4096
 END = 2
 DIMENSIONS, BITS = 4, 8
+#: Random signs of a word; their sums estimate a document's norm, by which it is scaled, long or short.
+SKETCH = 12
 #: Words that a worker's cache holds at most before it starts anew.
 CACHE_WORDS = 2_000_000
 #: A partition holds about so many bytes of text at least: its end costs some short sequences.
@@ -75,13 +77,13 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     for _, _, bounds, h, _, _, _ in words(column, SPACED):
         m = mix(h)
         n = np.diff(bounds)
-        point = np.empty((len(n), DIMENSIONS), np.int64)
-        for d in range(DIMENSIONS):
-            sums = np.concatenate([[0], np.cumsum((m >> U(7 * d + 3) & U(1)).astype(np.int64) * 2 - 1)])
-            y = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(n, 1)) / 3
-            even = np.interp(y, np.linspace(-4, 4, 513), _STEPS)
-            point[:, d] = np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-        out.append(hilbert(point))
+        signs = np.empty((len(n), SKETCH))
+        for d in range(SKETCH):
+            sums = np.concatenate([[0], np.cumsum(m >> U(3 * d + 5) & U(1), dtype=np.int64)])
+            signs[:, d] = 2 * (sums[bounds[1:]] - sums[bounds[:-1]]) - n
+        y = signs[:, :DIMENSIONS] / np.maximum(np.sqrt((signs * signs).mean(1, keepdims=True)), 1)
+        even = np.interp(y, np.linspace(-4, 4, 513), _STEPS)
+        out.append(hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
