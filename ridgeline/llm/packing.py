@@ -2,7 +2,7 @@
 
 A document's hashed words are projected to ``DIMENSIONS`` coordinates (random signs), scaled to its norm, each made even
 by the normal distribution's function, and their Hilbert key orders the documents: like ones become neighbours. Documents are
-range-partitioned and sorted by that key (then by id and checksum, so that equal texts can be split over partitions),
+range-partitioned and sorted by that key (then by a hash of the id, so that equal texts can be split over partitions),
 and each partition packs its documents one after another into sequences, cutting where a sequence is full. What is left
 at a partition's end is cut into powers of two, which need no padding.
 
@@ -33,9 +33,11 @@ LENGTH = 4096
 END = 2
 DIMENSIONS, BITS = 4, 8
 #: Random signs of a word; their sums estimate a document's norm, by which it is scaled, long or short.
-SKETCH = 12
+SKETCH = 8
 #: Words that a worker's cache holds at most before it starts anew.
 CACHE_WORDS = 2_000_000
+#: The bounds of the ranges come from about so many sampled documents; they only balance the partitions.
+BOUND_SAMPLE = 20_000
 #: A partition holds about so many bytes of text at least: its end costs some short sequences.
 PARTITION_BYTES = 8 << 20
 
@@ -201,15 +203,29 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    total = rows.select(F.sum(F.octet_length("_text"))).first()[0] or 0
+    total, count = rows.select(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*")).first()
     parts = max(1, min(total // PARTITION_BYTES, 100_000))
+    tie = F.xxhash64("_key").bitwiseAND(F.lit((1 << 31) - 1))
 
     @F.arrow_udf("long")
-    def curve(column: pa.Array) -> pa.Array:
-        return pa.array(curve_keys(column))
-
-    keyed = rows.withColumn("_curve", curve("_text"))
-    ordered = keyed.repartitionByRange(parts, "_curve", "_key").sortWithinPartitions("_curve", "_key", F.crc32(F.col("_text").cast("binary")))
+    def place(column: pa.Array, tie: pa.Array) -> pa.Array:
+        return pa.array(curve_keys(column) << 31 | tie.to_numpy())
+
+    some = rows.sample(min(1.0, BOUND_SAMPLE / count), seed=7) if count else rows
+    seen = some.select(place("_text", tie).alias("place"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")).toPandas().sort_values("place") if parts > 1 else None
+    cuts = np.zeros(0, np.int64)
+    if seen is not None:
+        weight = np.cumsum(seen["size"].to_numpy() + 1)
+        cuts = seen["place"].to_numpy(np.int64)[np.searchsorted(weight, weight[-1] * np.arange(1, parts) / parts)]
+    shared = spark.sparkContext.broadcast(cuts)
+
+    @F.arrow_udf("struct<place:long,part:int>")
+    def located(column: pa.Array, tie: pa.Array) -> pa.Array:
+        at = curve_keys(column) << 31 | tie.to_numpy()
+        return pa.StructArray.from_arrays([pa.array(at), pa.array(np.searchsorted(shared.value, at, "right").astype(np.int32))], names=["place", "part"])
+
+    keyed = rows.withColumn("_at", located("_text", tie))
+    ordered = keyed.repartitionById(parts, F.col("_at.part")).sortWithinPartitions("_at.place", "_key", F.crc32(F.col("_text").cast("binary")))
     names = [key, *(c.split()[0] for c in OUT.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

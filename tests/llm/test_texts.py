@@ -48,7 +48,9 @@ def check_pieces(rows, texts, length):
         assert at == length or at & (at - 1) == 0 and at < length
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("part", [packing.PARTITION_BYTES, 20_000])
+def test_packing_round_trip(spark, monkeypatch, part):
+    monkeypatch.setattr(packing, "PARTITION_BYTES", part)
     odd = [(20, "<|endoftext|> Hello<|startoftext|>WORLD"), (21, "é ΣΑΣ İ  x\x0by\x1cz"), (22, "<|ENDOFTEXT|>")]
     frame = frames.docs(spark, [(*o, "en") for o in odd])
     texts = [(r.doc_id, r.text) for r in frame.collect()]
