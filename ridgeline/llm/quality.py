@@ -176,25 +176,34 @@ def fit(documents: DataFrame, posterior: dict[int, float], key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = [c for _, _, bounds, h, s, e, part in words(batch.column(1), SPACED) for c in pattern_code(votes_of(bounds, h, s, e, part)).tolist()]
-            vectors = [v.astype(np.float16).tobytes() for v in _vectors(batch.column(1), code)]
-            yield pa.RecordBatch.from_arrays([pa.array([known.get(c, 0.5) for c in code], pa.float64()), pa.array(vectors, pa.binary())], names=["y", "x"])
-
-    rows = chosen.mapInArrow(run, "y double, x binary").orderBy("y", "x").limit(sample).collect()  # bounded by sample
-    y = np.array([r.y for r in rows])
+            places, values = [], []
+            for v in _vectors(batch.column(1), code):
+                at = np.flatnonzero(v)
+                places.append(at.astype(np.uint16).tobytes())
+                values.append(v[at].astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([known.get(c, 0.5) for c in code], pa.float64()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["y", "places", "values"])
+
+    rows = chosen.mapInArrow(run, "y double, places binary, values binary").toArrow()  # bounded by sample, a few KB each
+    order = sorted(range(rows.num_rows), key=lambda k: (rows["y"][k].as_py(), rows["places"][k].as_py(), rows["values"][k].as_py()))[:sample]
+    y = rows["y"].to_numpy()[order]
     if len(y) < 50 or (y > 0.5).all() or (y < 0.5).all():
         return None
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
-    return _logistic(x, y)
+    places = [np.frombuffer(rows["places"][k].as_buffer(), np.uint16) for k in order]
+    sizes = np.array([len(p) for p in places])
+    flat = np.concatenate([np.frombuffer(rows["values"][k].as_buffer(), np.float16) for k in order]).astype(np.float32)
+    return _logistic(np.concatenate(places).astype(np.int32), flat, sizes, y)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Adam on all rows; each class weighs alike."""
-    w, first, second = (np.zeros(x.shape[1] + 1) for _ in range(3))
+def _logistic(places: np.ndarray, values: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+    """Adam on all rows, which are sparse; each class weighs alike."""
+    width = WIDTH + _VOTES.shape[1]
+    w, first, second = (np.zeros(width + 1) for _ in range(3))
     weight = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
+    row = np.repeat(np.arange(len(y)), sizes)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
-        slope = weight * (p - y)
-        g = np.append(x.T @ slope.astype(np.float32), slope.sum()) + decay * w
+        z = np.bincount(row, values * w[places], minlength=len(y)) + w[-1]
+        slope = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = np.append(np.bincount(places, values * slope[row], minlength=width), slope.sum()) + decay * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8) * (0.99**t)
     return w
