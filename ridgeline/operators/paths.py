@@ -69,6 +69,12 @@ def crossings(rows: DataFrame, path: str = "path_id") -> DataFrame:
     return shared.where("paths >= 2")
 
 
+def crossing_places(rows: DataFrame, path: str = "path_id") -> DataFrame:
+    """(did, path, pos, paths): the same as rows, so that an edge may lie on any number of paths."""
+    shared = rows.groupBy("did", path).agg(F.lit(1).alias("_n")).groupBy("did").agg(F.count("*").alias("paths")).where("paths >= 2")
+    return rows.select("did", path, "pos").join(shared, "did")
+
+
 def line(rows: DataFrame, geometry: DataFrame, path: str = "path_id") -> DataFrame:
     """(path_id, points): the edges' points in order, turned round where an edge is passed backwards, joints once."""
     shaped = rows.withColumn("id", F.floor(F.col("did") / 2)).join(geometry.select("id", "geom"), "id")

@@ -364,7 +364,18 @@ def path_line(spark, folder):
     """Two edges each, joined at their common point."""
     road = _Road(spark, folder)
     turns = restrictions.allowed_turns(road.directed, road.banned.where("false")).where("from_did < 400")
-    found = paths.line(paths.steps(turns.select((F.col("from_did") * 100000 + F.col("to_did")).alias("path_id"), F.array("from_did", "to_did").alias("edges"))), road.geometry)
+    return _two_edge_lines(turns, 100000, road.geometry)
+
+
+@query("select a.did * 4294967296 + b.did as path_id, 5 as points, round(x.lon, 4) as lon1, round(x.lat, 4) as lat1, round(z.lon, 4) as lon2, round(z.lat, 4) as lat2 from directed a join directed b on a.v = b.u join nodes x on x.id = a.u join nodes z on z.id = b.v")
+def path_line_all(spark, folder):
+    """C10, every turn; the path's id keeps two edges apart on graphs of any size here."""
+    road = _Road(spark, folder)
+    return _two_edge_lines(restrictions.allowed_turns(road.directed, road.banned.where("false")), 1 << 32, road.geometry)
+
+
+def _two_edge_lines(turns: DataFrame, base: int, geometry: DataFrame) -> DataFrame:
+    found = paths.line(paths.steps(turns.select((F.col("from_did") * base + F.col("to_did")).alias("path_id"), F.array("from_did", "to_did").alias("edges"))), geometry)
     ends = [F.round(F.element_at("points", k)[c], 4).alias(f"{c}{n}") for n, k in ((1, 1), (2, -1)) for c in ("lon", "lat")]
     return found.select("path_id", F.size("points").alias("points"), *ends)
 
@@ -396,7 +407,17 @@ def elevation_lookup(spark, folder):
 @query("select o_orderkey as id, (case when o_orderkey % 2 = 0 then ['a', 'b'] else ['x', '', 'z'] end)[-1] as last, (case when o_orderkey % 2 = 0 then 2 else 3 end)::int as fields from orders where o_orderkey < 200", grid=False)
 def csv_split(spark, folder):
     """A14."""
-    rows = _table(spark, folder, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a,b,").otherwise("x,,z").alias("line"))
+    return _split(_table(spark, folder, "orders").where("o_orderkey < 200"))
+
+
+@query("select o_orderkey as id, (case when o_orderkey % 2 = 0 then ['a', 'b'] else ['x', '', 'z'] end)[-1] as last, (case when o_orderkey % 2 = 0 then 2 else 3 end)::int as fields from orders", grid=False)
+def csv_split_all(spark, folder):
+    """A14, every order."""
+    return _split(_table(spark, folder, "orders"))
+
+
+def _split(orders: DataFrame) -> DataFrame:
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a,b,").otherwise("x,,z").alias("line"))
     fields = files.split_line(F.col("line"))
     return rows.select("id", F.element_at(fields, -1).alias("last"), F.size(fields).alias("fields"))
 
@@ -449,8 +470,16 @@ def point_spread(spark, folder):
 _POINTS = ", points as (select c_custkey as point_id, -72 + (c_custkey * 7919 % 39000) / 1000000.0 as lon, 42 + (c_custkey * 104729 % 5000) / 1000000.0 as lat from customer where c_custkey % 10 = 0)"
 
 
+#: Every customer.
+_ALL_POINTS = _POINTS.replace(" where c_custkey % 10 = 0", "")
+
+
 def _points(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _table(spark, folder, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("point_id"))
+    return _all_points(spark, folder).where("point_id % 10 = 0")
+
+
+def _all_points(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "customer").select(F.col("c_custkey").alias("point_id"))
     return rows.select("point_id", (F.lit(-72) + (F.col("point_id") * 7919 % 39000) / 1000000.0).alias("lon"), (F.lit(42) + (F.col("point_id") * 104729 % 5000) / 1000000.0).alias("lat"))
 
 
@@ -616,6 +645,12 @@ def crossover_intersections(spark, folder):
     return shared.select("did", "paths", F.aggregate("where", F.lit(0).cast("long"), lambda s, w: s + F.size(w["positions"])).alias("places"))
 
 
+@query(f"with {_PATHS} select did, count(distinct path_id) as paths, count(*) as places from rows group by did having count(distinct path_id) >= 2", grid=False)
+def crossover_intersections_all(spark, folder):
+    """C11, every path, without a list for each edge."""
+    return paths.crossing_places(_path_rows(spark, folder)).groupBy("did").agg(F.first("paths").alias("paths"), F.count("*").alias("places"))
+
+
 @query(f"with {_LINES} select count(*) as paths, count(distinct h) as different from lines", grid=False)
 def distinct_paths(spark, folder):
     """G3."""
@@ -636,7 +671,17 @@ def leg_totals(spark, folder):
 @query(_POINTS + ", m as (select point_id % 20 as itinerary_id, row_number() over (partition by point_id % 20 order by point_id) - 1 as position, lon, lat from points where point_id < 1000) select itinerary_id, position::int as leg, round(lon, 6) as lon1, round(lat, 6) as lat1, round(lon2, 6) as lon2, round(lat2, 6) as lat2 from (select *, lead(lon) over w as lon2, lead(lat) over w as lat2 from m window w as (partition by itinerary_id order by position)) where lon2 is not null")
 def itinerary_legs(spark, folder):
     """I26."""
-    markers = _points(spark, folder).where("point_id < 1000").selectExpr("point_id % 20 as itinerary_id", "row_number() over (partition by point_id % 20 order by point_id) - 1 as position", "lon", "lat")
+    return _legs(_points(spark, folder).where("point_id < 1000"))
+
+
+@query(_ALL_POINTS + ", m as (select point_id % 20 as itinerary_id, row_number() over (partition by point_id % 20 order by point_id) - 1 as position, lon, lat from points) select itinerary_id, position::int as leg, round(lon, 6) as lon1, round(lat, 6) as lat1, round(lon2, 6) as lon2, round(lat2, 6) as lat2 from (select *, lead(lon) over w as lon2, lead(lat) over w as lat2 from m window w as (partition by itinerary_id order by position)) where lon2 is not null")
+def itinerary_legs_all(spark, folder):
+    """I26, every customer."""
+    return _legs(_all_points(spark, folder))
+
+
+def _legs(points: DataFrame) -> DataFrame:
+    markers = points.selectExpr("point_id % 20 as itinerary_id", "row_number() over (partition by point_id % 20 order by point_id) - 1 as position", "lon", "lat")
     found = itinerary.legs(markers)
     return found.select("itinerary_id", "leg", *(F.round(c, 6).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")))
 
@@ -735,3 +780,10 @@ def fixed_decimals(spark, folder):
     """A13."""
     rows = _table(spark, folder, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"))
     return rows.select("id", files.fixed("price", 5))
+
+
+@query("select l_orderkey as id, printf('%.5f', l_extendedprice) as price from lineitem", grid=False)
+def fixed_decimals_all(spark, folder):
+    """A13, every line item."""
+    rows = _table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"))
+    return rows.select("id", files.fixed("price", 5))

@@ -161,3 +161,20 @@ def test_edge_via_restriction(spark):
     directed = spark.createDataFrame([(2, 1, 1, 2), (4, 2, 2, 3), (5, 2, 3, 2), (6, 3, 3, 4)], "did long, id long, u long, v long")
     turns = spark.createDataFrame([("en", 1, 2, 3)], "type_enum string, from_id long, via_id long, to_id long")
     assert sorted((r.from_did, r.to_did) for r in restrictions.banned_turns(turns, directed).collect()) == [(2, 4), (4, 6)]
+
+
+def test_crossing_places_hold_what_the_lists_hold(spark):
+    rows = spark.createDataFrame([(p, k, d) for p in range(40) for k, d in enumerate((7, p, 7, p % 3))] + [(99, 0, 1000)], "path_id long, pos long, did long")
+    listed = {(r.did, r.paths, w.path_id, pos) for r in paths.crossings(rows).collect() for w in r["where"] for pos in w.positions}
+    placed = [(r.did, r.paths, r.path_id, r.pos) for r in paths.crossing_places(rows).collect()]
+    assert len(placed) == len(set(placed)) and set(placed) == listed and not any(d == 1000 for d, *_ in placed)
+
+
+def test_whole_queries_leave_no_rows_out(spark, folder):
+    from ridgeline import queries
+
+    orders, lines, customers = ({r[0] for r in spark.read.parquet(f"{folder}/{t}.parquet").select(c).collect()} for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("customer", "c_custkey")))
+    run = lambda name: queries.QUERIES[name](spark, folder)
+    assert {r.id for r in run("csv_split_all").collect()} == orders
+    assert {r.id for r in run("fixed_decimals_all").collect()} == lines
+    assert run("itinerary_legs_all").count() == len(customers) - len({c % 20 for c in customers})
