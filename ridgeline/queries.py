@@ -495,6 +495,18 @@ def within_radius(spark, folder):
     return nearest.within(_points(spark, folder), _Road(spark, folder).nodes, 123.0).select("point_id", "id")
 
 
+@query()
+def nearest_node_all(spark, folder):
+    """C12, I9, I10, every customer; tested against brute force."""
+    return nearest.nearest(_all_points(spark, folder), _Road(spark, folder).nodes).select("point_id", "id")
+
+
+@query()
+def within_radius_all(spark, folder):
+    """C13, I11, every customer; tested against brute force."""
+    return nearest.within(_all_points(spark, folder), _Road(spark, folder).nodes, 123.0).select("point_id", "id")
+
+
 @query()
 def random_near_pair(spark, folder):
     """Seeded."""

@@ -178,3 +178,20 @@ def test_whole_queries_leave_no_rows_out(spark, folder):
     assert {r.id for r in run("csv_split_all").collect()} == orders
     assert {r.id for r in run("fixed_decimals_all").collect()} == lines
     assert run("itinerary_legs_all").count() == len(customers) - len({c % 20 for c in customers})
+
+
+def test_nearest_and_within_of_every_customer(spark, folder):
+    import numpy as np
+
+    from ridgeline import queries
+
+    at = lambda df, key: np.array([(r[key], r.lon, r.lat) for r in df.select(key, "lon", "lat").collect()])
+    p, n = at(queries._all_points(spark, folder), "point_id"), at(queries._Road(spark, folder).nodes, "id")
+    n = n[np.argsort(n[:, 0])]
+    (plon, plat), (nlon, nlat) = np.radians(p[:, 1:].T)[:, :, None], np.radians(n[:, 1:].T)[:, None, :]
+    angle = 2 * np.arcsin(np.sqrt(np.sin((plat - nlat) / 2) ** 2 + np.cos(plat) * np.cos(nlat) * np.sin((plon - nlon) / 2) ** 2))
+    assert len(p) == spark.read.parquet(f"{folder}/customer.parquet").count()
+    got = {r.point_id: r.id for r in queries.nearest_node_all(spark, folder).collect()}
+    assert got == {int(k): int(n[j, 0]) for k, j in zip(p[:, 0], angle.argmin(axis=1))}
+    near = {(r.point_id, r.id) for r in queries.within_radius_all(spark, folder).collect()}
+    assert near == {(int(p[i, 0]), int(n[j, 0])) for i, j in zip(*np.nonzero(angle * 6_371_000 < 123.0))}
