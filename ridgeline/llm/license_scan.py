@@ -1,12 +1,16 @@
 """License scans: exact set-similarity join of text blocks with license templates, and exact phrases.
 
-A block is a line of a text, as its set of words; a template is a set of words too. A block meets a template when it
-holds at least ``threshold`` of the template's words (containment). Words are ordered by how often all documents hold
-them, rarest first. By the prefix filter a block that meets a template holds one of its first
-``|T| - need + 1`` words; the length filter wants ``need`` words in the block; the positional filter wants enough words
-of the template at or after the block's first prefix word. Only blocks that pass are counted in full. Templates are few
-and fixed, so they are the broadcast side. Where all the words that a block shares with one template belong to another
-template that it holds to a larger share, only the latter names the block.
+A block is a line of a text, or a window of as many words as the longest template has, which may cross line ends (so
+that wrapped notices are met); both as sets of words. A template is a set of words too. A block meets a template when
+it holds at least ``threshold`` of the template's words (containment). Words are ordered by how often all documents
+hold them, rarest first. By the prefix filter a block that meets a template holds one of its first
+``|T| - need + 1`` words; only starts of blocks that do are counted in full. Templates are few and fixed, so they are
+the broadcast side.
+
+An occurrence is a shortest run of words that meets a template. It names nothing where another template that it
+resembles (all its words belong to that one) has an occurrence of a larger share on the same places, and fewer words
+than needed are left beside them; a second notice of its own in the same line stays. A run that crosses line ends
+mustn't draw on the words of any other template's occurrence of a larger share, or of an equal one and more words.
 
 Defined cases: null and empty texts have no words, no places and empty label strings; ties and repeated rows are each
 judged alone; extra columns are ignored; an empty table gives an empty result.
@@ -92,18 +96,17 @@ class _Matcher:
             seq = [ids[int(h)] for h in word_hash(p, ALNUM)]
             anchor = min(range(len(seq)), key=lambda k: rank[seq[k]])
             self.phrases.append((seq, anchor, label))
-        self.templates = []
+        self.templates, self.window = [], 0
         for t, label in templates:
-            own = np.array(sorted({ids[int(h)] for h in word_hash(t, ALNUM)}, key=lambda k: rank[k]))
+            hashes = word_hash(t, ALNUM)
+            own = np.array(sorted({ids[int(h)] for h in hashes}, key=lambda k: rank[k]))
             need = max(1, ceil(threshold * len(own) - 1e-9))
             member = np.zeros(len(vocabulary), bool)
             member[own] = True
-            place = np.full(len(vocabulary), len(own))
-            place[own] = np.arange(len(own))
-            self.templates.append((label, len(own), need, member, place))
-        self.prefix = np.zeros(len(vocabulary), bool)
-        for _, size, need, member, place in self.templates:
-            self.prefix |= member & (place < size - need + 1)
+            prefix = np.zeros(len(vocabulary), bool)
+            prefix[own[: len(own) - need + 1]] = True
+            self.templates.append((label, own, need, member, prefix))
+            self.window = max(self.window, len(hashes))
 
     def run(self, bounds, ids, lines):
         """Per row: places of phrases (row, word, label), and blocks that meet templates (row, label, containment)."""
@@ -118,29 +121,54 @@ class _Matcher:
             start = start[row[start] == row[start + len(seq) - 1]]
             places += [(int(row[s]), int(s - bounds[row[s]]), label) for s in start]
         known = np.flatnonzero(ids >= 0)
-        hot = np.unique(lines[known[self.prefix[ids[known]]]])
-        if len(hot):
-            length = np.searchsorted(lines, hot, "right") - np.searchsorted(lines, hot)
-            known = known[np.isin(lines[known], hot, kind="sort")]
-            pairs = np.unique(lines[known] * len(self.vocabulary) + ids[known])
-            block, token = np.searchsorted(hot, pairs // len(self.vocabulary)), pairs % len(self.vocabulary)
-            where = row[np.searchsorted(lines, hot)]
-            found: dict[int, list] = {}
-            for label, size, need, member, place in self.templates:
-                mine = member[token]
-                first = np.full(len(hot), size)
-                np.minimum.at(first, block[mine], place[token[mine]])
-                may = (length >= need) & (first <= size - need)
-                if may.any():
-                    held = np.bincount(block[mine], minlength=len(hot))
-                    for b in np.flatnonzero(may & (held >= need)):
-                        found.setdefault(int(b), []).append((held[b] / size, label, frozenset(token[mine & (block == b)].tolist()), member))
-            for b, of in found.items():
-                for share, label, own, _ in of:
-                    if not any(other > share and all(member[t] for t in own) for other, _, _, member in of):
-                        met.append((int(where[b]), label, share))
+        tokens = ids[known]
+        found: dict[int, list] = {}
+        for k, (_, own, need, member, prefix) in enumerate(self.templates):
+            for size, of, crosses in self._occurrences(known, tokens, own, need, member, prefix, bounds, row, lines):
+                found.setdefault(int(row[min(of.values())]), []).append((size / len(own), k, of, crosses))
+        for r, of in found.items():
+            met += [(r, self.templates[k][0], share) for share, k in self._explained(of)]
         return places, met
 
+    def _occurrences(self, known, tokens, own, need, member, prefix, bounds, row, lines):
+        """(words held, their places by token, whether it crosses a line end) of the shortest runs that meet a template."""
+        rare = known[prefix[tokens]]
+        if not len(rare):
+            return
+        start = known[member[tokens]]
+        to = np.maximum(np.searchsorted(lines, lines[start], "right"), np.minimum(start + self.window, bounds[row[start] + 1]))
+        next_rare = np.append(rare, len(row))[np.searchsorted(rare, start)]
+        start, to = start[next_rare < to], to[next_rare < to]
+        place = np.empty((len(own), len(start)), np.int64)
+        for k, t in enumerate(own):
+            mine = known[tokens == t]
+            place[k] = np.append(mine, len(row))[np.searchsorted(mine, start)]
+        order = np.argsort(place, axis=0)
+        place = np.take_along_axis(place, order, axis=0)
+        for size in range(need, len(own) + 1):
+            end = np.where(place[size - 1] < to, place[size - 1], len(row))
+            after = np.append(np.minimum.accumulate(end[::-1])[::-1][1:], len(row))
+            for k in np.flatnonzero((end < len(row)) & (end < after)):  # no run inside it holds as many
+                yield size, dict(zip(own[order[:size, k]].tolist(), place[:size, k].tolist())), bool(lines[start[k]] != lines[end[k]])
+
+    def _explained(self, found: list) -> list[tuple[float, int]]:
+        """(share, template) of a text's occurrences, without those that others explain."""
+        if len({f[1] for f in found}) == 1:
+            return [f[:2] for f in found]
+        drawn: dict[int, dict[int, tuple]] = {}  # for each template, the places of its disjoint occurrences, best first
+        for share, k, of, _ in sorted(found, key=lambda f: (-f[0], max(f[2].values()) - min(f[2].values()), min(f[2].values()))):
+            own = drawn.setdefault(k, {})
+            if not any(p in own for p in of.values()):
+                own.update(dict.fromkeys(of.values(), (share, len(of))))
+        out = []
+        for share, k, of, crosses in found:
+            least = (share, len(of)) if crosses else (share, len(self.vocabulary))
+            others = [d for o, d in drawn.items() if o != k and (crosses or all(self.templates[o][3][t] for t in of))]
+            left = sum(not any(d.get(p, least) > least for d in others) for p in of.values())
+            if left >= self.templates[k][2]:
+                out.append((share, k))
+        return out
+
 
 def scan(documents: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score: one row for each of documents."""

@@ -299,3 +299,16 @@ def test_quality_odd_cases(spark):
     assert not got[4].accepted and not got[5].accepted and got[4].quality == 0 and not got[6].accepted
     assert got[1].accepted and got[7].accepted
     assert quality.classify(frames.empty(spark)).count() == 0
+
+
+def _labels(spark, texts):
+    return {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frames.docs(spark, [(1000 + k, t, "en") for k, t in enumerate(texts)])).collect() if r.doc_id is not None and r.doc_id >= 1000}
+
+
+def test_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = "licensed under the gnu\ngeneral public license version 3"  # case 105 of test_licenses
+    apart = "licensed under the gnu\n" + "filler words stand here\n" * 5 + "general public license version 3"
+    stray = "she came mit.\nLicensed under the Apache License, Version 2.0"  # the word before belongs to no notice
+    got = _labels(spark, [bsd, gpl, f"prose\n{gpl}\nprose", apart, stray])
+    assert got == {1000: ("bsd", 1.0), 1001: ("gpl-3", 1.0), 1002: ("gpl-3", 1.0), 1003: ("", 0.0), 1004: ("apache-2", 1.0)}
