@@ -312,3 +312,13 @@ def test_wrapped_notices(spark):
     stray = "she came mit.\nLicensed under the Apache License, Version 2.0"  # the word before belongs to no notice
     got = _labels(spark, [bsd, gpl, f"prose\n{gpl}\nprose", apart, stray])
     assert got == {1000: ("bsd", 1.0), 1001: ("gpl-3", 1.0), 1002: ("gpl-3", 1.0), 1003: ("", 0.0), 1004: ("apache-2", 1.0)}
+
+
+def test_second_notice_in_a_line_stays(spark):
+    two = "licensed under cc by nc 4 0 and parts licensed under cc by 4 0 international"
+    short = "licensed under cc by nc 4 0 and parts licensed under cc by 4 0"
+    one = "licensed under cc by nc 4 0"
+    lesser = "licensed under the gnu lesser general public license 3 x licensed under the gnu lesser general public license version 3"
+    got = _labels(spark, [two, short, one, lesser, "licensed under the gnu general public license version 3"])
+    assert set(got[1000][0].split(",")) >= {"cc-by", "cc-by-nc"} and set(got[1001][0].split(",")) >= {"cc-by", "cc-by-nc"}
+    assert got[1002] == ("cc-by-nc", 1.0) and "agpl" not in got[1003][0] and got[1004] == ("gpl-3", 1.0)
