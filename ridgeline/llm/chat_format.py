@@ -86,10 +86,11 @@ def _positions(rows: DataFrame, order: list[str]) -> DataFrame:
     return inside.join(before, same).withColumn("position", (F.col("_from") + F.col("_at")).cast("long")).drop("_block", "_conv", "_level", "_b", "_from", "_at")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, tuple[Field, ...]]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, tuple[Field, ...]], others: DataFrame | None = None) -> DataFrame:
     """conv_id, position, turn, call_id, level, state, problems, json for every call and every result without its own.
 
-    calls: conv_id, call_id, turn, name, arguments (JSON), after (ids of calls); results: conv_id, call_id, turn, content.
+    calls: conv_id, call_id, turn, name, arguments (JSON), after (ids of calls); results: conv_id, call_id, turn, content;
+    others: conv_id, turn, name, content: turns that neither call nor answer, ``other``, by turn before all calls.
     """
     work = Scratch(calls.sparkSession, "chat-format")
     placed = levels(calls, work)
@@ -111,7 +112,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, tuple[Field, .
         "conv_id", F.col("r_turn").alias("turn"), "call_id", F.lit(2147483647).alias("level"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.xxhash64("content").alias("tie"),
         F.when(F.col("called").isNull(), "orphan").otherwise("extra").alias("state"), F.array().cast("array<string>").alias("problems"), F.col("r_turn").alias("result_turn"), "content",
     )
-    rows = _positions(own.unionByName(rest), ["call_id", "tie"])
+    rows = own.unionByName(rest)
+    if others is not None:
+        rows = rows.unionByName(others.select(
+            "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.lit(-1).alias("level"), "name", F.lit(None).cast("string").alias("arguments"), F.xxhash64("name", "content").alias("tie"),
+            F.lit("other").alias("state"), F.array().cast("array<string>").alias("problems"), F.lit(None).cast("long").alias("result_turn"), "content",
+        ))
+    rows = _positions(rows, ["call_id", "tie"])
     body = F.to_json(F.try_parse_json("arguments"))
     # keys in order; arguments stand as JSON, not as a string
     outer = F.to_json(F.struct(F.col("call_id").alias("call_id"), F.col("content").alias("content"), F.col("name").alias("name"), F.col("problems").alias("problems"), F.col("state").alias("state"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
@@ -136,3 +143,8 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     said = turns.where("role = 'assistant'").select("conv_id", F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, said
+
+
+def other_turns(turns: DataFrame) -> DataFrame:
+    """The turns that from_conversations leaves (system, unknown roles and none), named by their role."""
+    return turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("content"))

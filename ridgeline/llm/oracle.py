@@ -61,6 +61,13 @@ whole as (
 select conv_id, row_number() over (partition by conv_id order by level, turn, call_id) - 1 as position, turn, call_id, level::int as level, state, '' as problems,
  '{"arguments":' || arguments || ',"call_id":' || to_json(call_id) || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"problems":[],"state":' || to_json(state) || ',"turn":' || turn || '}' as json from whole"""
 
+#: The same with the turns of all other roles.
+CHAT_FORMAT_ALL = CHAT_FORMAT[: CHAT_FORMAT.rindex(")\nselect conv_id")] + """
+ union all
+ select conv_id, turn, null, -1, 'other', null, text, role, 'null' from conversations where role is null or role not in ('user', 'assistant'))
+select conv_id, row_number() over (partition by conv_id order by level, turn, call_id) - 1 as position, turn, call_id, level::int as level, state, '' as problems,
+ '{"arguments":' || arguments || ',"call_id":' || coalesce(to_json(call_id)::varchar, 'null') || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"problems":[],"state":' || to_json(state) || ',"turn":' || turn || '}' as json from whole"""
+
 DECONTAMINATION = f"""
 with docs as (select doc_id, regexp_extract_all({_TEXT}, '{_ALNUM}') as w from documents),
 items as (select item_id, regexp_extract_all({_TEXT}, '{_ALNUM}') as w from benchmark),
@@ -98,3 +105,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": DECONTAMINATION,
     "op9_license_scan": _license_scan(),
 }
+
+#: SQL of queries.WHOLE.
+WHOLE_SQL: dict[str, str] = {"op6_chat_format_all": CHAT_FORMAT_ALL}

@@ -39,3 +39,15 @@ def test_pipeline_takes_odd_rows(spark, folder):
             got = stage(spark, docs, folder)
             assert got.columns == docs.columns
             got.count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.WHOLE_SQL))
+def test_whole_matches_sql(name, spark, folder, duck):
+    same(queries.WHOLE[name](spark, folder), duck, queries.WHOLE_SQL[name])
+
+
+def test_chat_keeps_every_turn(spark):
+    turns = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, None, "odd"), (1, 4, "tool", None), (2, 0, "assistant", "alone")], "conv_id long, turn long, role string, text string")
+    rows = queries.chat_format.link(*queries.chat_format.from_conversations(turns), queries.chat_format.REPLY, queries.chat_format.other_turns(turns)).orderBy("conv_id", "position").collect()
+    assert [(r.conv_id, r.position, r.turn, r.state) for r in rows] == [(1, 0, 0, "other"), (1, 1, 3, "other"), (1, 2, 4, "other"), (1, 3, 1, "linked"), (2, 0, 0, "orphan")]
+    assert '"name":"system"' in rows[0].json and '"name":null' in rows[1].json and '"content":null' in rows[2].json
