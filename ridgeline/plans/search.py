@@ -199,6 +199,8 @@ def routes(requests: DataFrame, directed: DataFrame, banned: DataFrame | None =
 
 def least_elevation(requests: DataFrame, directed: DataFrame, banned: DataFrame | None = None) -> DataFrame:
     """(request_id, length, elevation, ...): the path of least elevation among what ratio leaves; turn-aware with banned."""
+    if not fits(directed):
+        raise ValueError(f"least elevation needs a graph of at most {KERNEL_EDGES} directed edges; cut out the region of the requests")
     turns = banned is not None
 
     def one(graph: Graph, r) -> Iterator[tuple]:
@@ -221,9 +223,39 @@ def bounded(length: int, ratio: float) -> int:
 
 def a_star(requests: DataFrame, directed: DataFrame) -> DataFrame:
     """Returns what the shortest-path search returns."""
+    if not fits(directed):
+        return shortest_in_rounds(requests, directed)
     return routes(requests.withColumns({"path_type": F.lit(SHORTEST), "ratio": F.lit(1.0), "duplicates": F.lit(0), "turns": F.lit(False)}), directed)
 
 
+#: Edges of one path at most, in rounds: costs are lengths times this, plus one for each edge.
+HOPS = 1 << 24
+
+
+def shortest_in_rounds(requests: DataFrame, directed: DataFrame) -> DataFrame:
+    """The same over DataFrames: distances by (length, edges), then all paths back from their targets, an edge a round."""
+    store = Store(requests.sparkSession, "shortest")
+    edges = store.put("edges", directed.select("did", "u", "v", F.col("length").cast("long").alias("length"), F.col("elevation").cast("long").alias("elevation")).withColumn("cost", F.col("length") * HOPS + 1))
+    asked = store.put("asked", requests.select("request_id", "source", "target"))
+    dist = store.put("dist", distances_in_rounds(asked, edges, "cost"))
+    ends = asked.join(dist.withColumnRenamed("node", "target"), ["request_id", "target"])
+    at, turn = store.put("at0", ends.select("request_id", F.col("target").alias("node"), "dist")), 0
+    schema = "request_id long, did long, length long, elevation long, dist long"
+    while not (at := at.where("dist > 0")).isEmpty():
+        turn += 1
+        back = at.join(edges.withColumnRenamed("v", "node"), "node").withColumn("rest", F.col("dist") - F.col("cost"))
+        back = back.join(dist.select("request_id", F.col("node").alias("u"), F.col("dist").alias("rest")), ["request_id", "u", "rest"])
+        step = back.groupBy("request_id").agg(F.min_by(F.struct("did", "u", "length", "elevation", "dist", "rest"), "did").alias("s")).select("request_id", "s.*")
+        step = store.put(f"steps/turn={turn}", step)
+        at = step.select("request_id", F.col("u").alias("node"), F.col("rest").alias("dist"))
+    spark = requests.sparkSession
+    steps = spark.read.schema(schema).parquet(f"{store.root}/steps") if turn else spark.createDataFrame([], schema)
+    whole = steps.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dist", "did"))), lambda e: e["did"]).alias("edges"), F.sum("length").alias("length"), F.sum("elevation").alias("elevation"))
+    rows = asked.join(ends.select("request_id", F.lit(True).alias("found")), "request_id", "left").join(whole, "request_id", "left")
+    none = F.when(F.col("found"), F.lit(0).cast("long"))
+    return rows.select("request_id", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("edges", F.array().cast("array<long>")).alias("edges"), F.coalesce("length", none).alias("length"), F.coalesce("elevation", none).alias("elevation"), F.col("found").alias("optimal"))
+
+
 def largest_component(directed: DataFrame, banned: DataFrame) -> DataFrame:
     """The directed edges of the largest strongly connected component (by nodes), banned turns not passed."""
     if fits(directed) and fits(banned):

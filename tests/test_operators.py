@@ -195,3 +195,15 @@ def test_nearest_and_within_of_every_customer(spark, folder):
     assert got == {int(k): int(n[j, 0]) for k, j in zip(p[:, 0], angle.argmin(axis=1))}
     near = {(r.point_id, r.id) for r in queries.within_radius_all(spark, folder).collect()}
     assert near == {(int(p[i, 0]), int(n[j, 0])) for i, j in zip(*np.nonzero(angle * 6_371_000 < 123.0))}
+
+
+def test_shortest_paths_of_graphs_beyond_the_kernel(spark, monkeypatch):
+    edges = [(0, 1, 2, 5, 1), (1, 2, 1, 5, 1), (2, 2, 3, 0, 2), (3, 3, 2, 0, 2), (4, 3, 4, 5, 1), (6, 1, 4, 20, 0), (8, 5, 6, 1, 1)]
+    directed = spark.createDataFrame(edges, "did long, u long, v long, length long, elevation long")
+    pairs = spark.createDataFrame([(0, 1, 4), (1, 4, 1), (2, 1, 1), (3, 3, 1), (4, 5, 6)], "request_id long, source long, target long")
+    shown = lambda: {r.request_id: (r.found, list(r.edges), r.length, r.elevation, r.optimal) for r in search.a_star(pairs, directed).collect()}
+    kernel = shown()
+    monkeypatch.setattr(search, "fits", lambda graph, most=0: False)
+    assert shown() == kernel and kernel[0] == (True, [0, 2, 4], 10, 4, True)
+    with pytest.raises(ValueError):
+        search.least_elevation(pairs.withColumn("ratio", F.lit(1.5)), directed)
