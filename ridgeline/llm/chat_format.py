@@ -16,6 +16,7 @@ ties in turn are ordered by id; repeated rows stay; extra columns are ignored; e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def problems(arguments: Column, name: Column, schemas: dict[str, tuple[Field, ..
     return F.when(value.isNull(), F.array(F.lit("malformed"))).when(~F.schema_of_variant(value).startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(known)
 
 
-def levels(calls: DataFrame, work: Scratch, most: int = 10_000) -> DataFrame:
+def levels(calls: DataFrame, work: Scratch) -> DataFrame:
     """(conv_id, call_id, level): rounds peel off the calls whose dependencies are all placed; cycles get no level."""
     ids = calls.where("call_id is not null").select("conv_id", "call_id").distinct()
     edges = calls.where("call_id is not null").select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
@@ -62,18 +63,15 @@ def levels(calls: DataFrame, work: Scratch, most: int = 10_000) -> DataFrame:
     waiting = work.put("waiting0", edges.select("conv_id", "call_id").distinct())
     if waiting.isEmpty():  # the usual case: no dependencies
         return ids.withColumn("level", F.lit(0))
-    done = [ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))]
-    for level in range(1, most):
+    first, placed = ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), []
+    for level in count(1):  # ends on cycles too: none of their calls gets ready
         blocked = edges.join(waiting.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi").select("conv_id", "call_id")
         ready = work.put(f"ready{level}", waiting.join(blocked.distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
-        done.append(ready)
+        placed.append(work.paths[f"ready{level}"])
         waiting = work.put(f"waiting{level}", waiting.join(ready, ["conv_id", "call_id"], "left_anti"))
-    whole = done[0]
-    for d in done[1:]:
-        whole = whole.unionByName(d)
-    return whole
+    return first.unionByName(calls.sparkSession.read.schema(first.schema).parquet(*placed)) if placed else first
 
 
 def _positions(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -322,3 +322,9 @@ def test_second_notice_in_a_line_stays(spark):
     got = _labels(spark, [two, short, one, lesser, "licensed under the gnu general public license version 3"])
     assert set(got[1000][0].split(",")) >= {"cc-by", "cc-by-nc"} and set(got[1001][0].split(",")) >= {"cc-by", "cc-by-nc"}
     assert got[1002] == ("cc-by-nc", 1.0) and "agpl" not in got[1003][0] and got[1004] == ("gpl-3", 1.0)
+
+
+def test_chat_levels_have_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "range", lambda a, b: range(a, min(b, 3)), raising=False)  # draws in a bound, if there is one
+    calls = spark.createDataFrame([(1, f"c{k}", 9 - k, [f"c{k - 1}"] if k else []) for k in range(5)], "conv_id long, call_id string, turn long, after array<string>")
+    assert {r.call_id: r.level for r in chat_format.levels(calls, chat_format.Scratch(spark, "levels")).collect()} == {f"c{k}": k for k in range(5)}
