@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to Python at once: texts may be long, so a batch stays small.
-ARROW_ROWS = 512
+#: Rows handed to Python at once, and bytes: texts may be long, so a batch stays small.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -21,14 +24,38 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows, for what runs inside: rows that are whole tiles are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
+    """Arrow batches of so many rows and ARROW_BYTES at most, for what runs inside; then as before."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and what one stage needed mustn't stay with them."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, which gives its memory back when a task ends."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,46 +10,59 @@ then miss more than t tokens. Rare tokens are indexed singly (a list is shorter
 at all. With m near t, a document has O(t) pairs. m depends on size, so a document is indexed for each m of the
 smaller partners that it can have.
 
-Which tokens are lone or frequent is counted over all documents; the answer travels in Bloom filters of a capped size.
-A false positive only moves a token to a more frequent class, which is still a valid class for every document,
-so results stay exact at any size.
+Classes are exact at any size, and nothing of them is broadcast. Texts are read once, in chunks of documents; a chunk
+sends its tokens to buckets by their top bits (the number of buckets follows the bytes of text), a bucket counts them
+and sends back those that several documents hold, and the chunk is put together again from what all buckets say. A token
+that ``FREQUENT`` documents of one chunk hold is frequent by that alone: the chunk only announces it, so a bucket
+gets a token less than FREQUENT times from any chunk, however common it is. Documents with more than t lone tokens have
+no partner and end here. The chunks of documents are told apart by task and order, so documents should be a stored table
+(as all queries here read), not the output of a shuffle that may come in another order after a loss.
 
 Equal sets are one class from the start. Then each class is checked against the hub of its lists that it meets most (a
 list's hub is its member that shares most with others), which joins most of a large group with as many checks as
 members. After that, what lists still hold together across components is decided exactly. Lists of rare tokens are
 short: their pairs are pruned by length and by the number of shared prefix tokens, and verified on the whole sets.
-Lists of token pairs may be long: their members are dealt into families (by hub) and tiles, and any two tiles
-of families that share a list are verified as blocks, by one product of their token matrices; pairs aren't
-emitted, only a spanning forest of the links. Tiles of one component aren't compared with each other.
+Lists of token pairs may be long: their members are dealt into families (by hub; small families that meet in one list
+are one) and tiles, and any two tiles of families that share a list are verified as blocks, by one product of their
+token matrices; pairs aren't emitted, only a spanning forest of the links. Tiles of one component aren't compared with
+each other. Components are then sought among hubs, not among all members.
+
+Sets are compared by 64-bit hashes of their shingles, of which 48 bits and the bucket's are kept (54 or more).
 
 Defined cases: null or wordless texts have empty sets and link with nothing; rows that repeat an id are one
-node; ties don't matter (components are sets); very long texts are whole sets; extra columns are ignored; an
-empty table gives an empty result.
+node (so unrelated texts under one id join their components: give rows a key of their own where that isn't meant); rows
+with a null id are each their own, and their component is the smallest id that they reach, if any; ties don't
+matter (components are sets); very long texts are whole sets; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._graph import components, forest
-from ._store import Scratch, batches_of, small_batches
+from ._store import ARROW_ROWS, Scratch, batches_of, give_back, tidy
 from ._text import SPACED, U, mix, sequence_hash, words
 
 #: A token of at least so many documents is frequent.
 FREQUENT = 16
-#: Tokens are counted in 2**BUCKET_BITS groups, by 2**BUCKET_BITS * 2**32 keys.
-BUCKET_BITS = 10
-#: Each of the two Bloom filters has so many bits at most.
-FILTER_BITS = 1 << 29
+#: A bucket counts the tokens of about so many bytes of text; there are 2**LEAST_BITS buckets at least.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 64 << 20, 6, 22
+#: A chunk ends when it has so many tokens (more where there are many buckets) or documents; a longer document is whole.
+CHUNK, CHUNK_MOST, CHUNK_DOCS = 1 << 20, 1 << 24, 30_000
 #: A tile holds about so many sets, or so many tokens, at most; a token matrix so many numbers.
 TILE_SETS, TILE_TOKENS, MATRIX = 256, 500_000, 4_000_000
-#: A task sorts so many tokens at a time before it sends them.
-CHUNK = 2_000_000
+
+_LOW = U((1 << 48) - 1)
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -68,93 +81,123 @@ def token_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 # --- token classes -------------------------------------------------------------------------------------------------
 
 
-def _capped(tokens: np.ndarray) -> np.ndarray:
-    """Sorted, each value at most FREQUENT times."""
-    tokens = np.sort(tokens)
-    keep = np.ones(len(tokens), bool)
-    keep[FREQUENT:] = tokens[FREQUENT:] != tokens[:-FREQUENT]
-    return tokens[keep]
-
-
-def _count_keys(texts: DataFrame, k: int) -> DataFrame:
-    """(bucket, keys): sorted 32-bit keys of the documents' tokens; what tasks hold often is cut to FREQUENT copies."""
-
-    def send(parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = _capped(np.concatenate(parts).view(U) >> U(32 - BUCKET_BITS))
-        cuts = np.searchsorted(tokens, np.arange((1 << BUCKET_BITS) + 1, dtype=U) << U(32))
-        low = tokens.astype(np.uint32)
-        full = np.flatnonzero(np.diff(cuts))
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "keys"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for s in token_sets(batch.column(0), k):
-                parts.append(s)
-                size += len(s)
-                if size >= CHUNK:
-                    yield send(parts)
-                    parts, size = [], 0
-        if size:
-            yield send(parts)
-
-    return texts.mapInArrow(run, "bucket int, keys binary")
+def bucket_bits(size: int) -> int:
+    """log2 of the number of buckets for so many bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, ceil(log2(max(1, size) / BUCKET_BYTES))))
 
 
-def _bits_at(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g = mix(key)
-    return g & mask, (g >> U(32)) & mask
+def _pack(tokens: np.ndarray) -> np.ndarray:
+    """The low six bytes of each token, as rows of bytes."""
+    return np.ascontiguousarray(tokens, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
 
-def _filter(bucket: int, low: np.ndarray) -> bytes:
-    """A Bloom filter of the keys, twelve bits each, within this bucket's part of FILTER_BITS."""
-    size = 64
-    while size < 12 * len(low) and size < FILTER_BITS >> BUCKET_BITS:
-        size *= 2
-    bits = np.zeros(size, np.uint8)
-    for at in _bits_at((U(bucket) << U(32)) | low.astype(U), np.full(len(low), size - 1, U)):
-        bits[at] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def _unpack(column: pa.ChunkedArray) -> np.ndarray:
+    data = b"".join(x.as_buffer() for x in column)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
-def _summarise(group: pa.Table) -> pa.Table:
-    bucket = group["bucket"][0].as_py()
-    keys = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group["keys"]]))
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    n = np.diff(np.append(start, len(keys)))
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "several": pa.array([_filter(bucket, keys[start[n > 1]])], pa.binary()), "frequent": pa.array([_filter(bucket, keys[start[n >= FREQUENT]])], pa.binary())})
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+    return start, np.diff(np.append(start, len(sorted_values)))
 
 
-class Filter:
-    """The buckets' Bloom filters in one array."""
-
-    def __init__(self, parts: dict[int, bytes]):
-        sizes = [len(parts.get(b, b"")) * 8 for b in range(1 << BUCKET_BITS)]
-        self.mask = np.array([max(s - 1, 0) for s in sizes], U)
-        self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(U)
-        self.present = np.array(sizes) > 0
-        self.data = np.frombuffer(b"".join(parts.get(b, b"") for b in range(1 << BUCKET_BITS)) or b"\0", np.uint8)
-
-    def holds(self, tokens: np.ndarray) -> np.ndarray:
-        key = tokens.view(U) >> U(32 - BUCKET_BITS)
-        bucket = (key >> U(32)).astype(np.int64)
-        base, ok = self.base[bucket], self.present[bucket]
-        for at in _bits_at(key, self.mask[bucket]):
-            at = np.minimum(base + at, U(len(self.data) * 8 - 1))
-            ok = ok & ((self.data[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).astype(bool)
-        return ok
+def _sums(flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two checksums of each set."""
+    ends = np.cumsum(n)
+    out = []
+    for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(flat * U(c)), dtype=U)])
+        out.append((total[ends] - total[ends - n]).view(np.int64))
+    return out
 
 
-def classes(texts: DataFrame, k: int) -> tuple[Filter, Filter]:
-    """Which tokens several documents hold, and which are frequent."""
-    rows = _count_keys(texts, k).groupBy("bucket").applyInArrow(_summarise, "bucket int, several binary, frequent binary").collect()  # 2 x FILTER_BITS at most
-    return Filter({r.bucket: bytes(r.several) for r in rows}), Filter({r.bucket: bytes(r.frequent) for r in rows})
+def _sent(kind: T.DataType) -> T.StructType:
+    made = T.StructType().add("bucket", "integer").add("chunk", "long").add("tokens", "binary").add("docs", "binary").add("common", "binary")
+    return made.add("ids", T.ArrayType(kind)).add("sums", "binary")
+
+
+def _chunk(number: int, bits: int, ids: pa.Array, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What one chunk sends. To each bucket: its tokens (six bytes each) by document, whose they are (places, or a count
+    for each document, whichever is shorter), and its common tokens. Under ids: the documents, their sums, and the
+    places of common tokens, which a bucket only passes on."""
+    n = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets).view(U)
+    sums = np.concatenate([n, *_sums(flat, n)])
+    flat = flat & (U(((1 << bits) - 1) << (64 - bits)) | _LOW)
+    doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+    by = np.argsort(flat)
+    start, size = _runs(flat[by])
+    often = size >= FREQUENT
+    common, places = flat[by[start[often]]], by[np.repeat(often, size)]
+    left = np.ones(len(flat), bool)
+    left[places] = False
+    flat_left, doc_left = flat[left], doc[left]
+    bucket = (flat_left >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, packed, doc_left = bucket[order], _pack(flat_left[order]), doc_left[order]
+    common_bucket = (common >> U(64 - bits)).astype(np.int64)
+    wanted = np.union1d(bucket, common_bucket).astype(np.int64)
+    cuts, last = np.searchsorted(bucket, wanted), np.searchsorted(bucket, wanted, "right")
+    first_common, last_common = np.searchsorted(common_bucket, wanted), np.searchsorted(common_bucket, wanted, "right")
+    docs = []
+    for a, b in zip(cuts, last):
+        docs.append((doc_left[a:b] if b - a <= 2 * len(sets) else np.bincount(doc_left[a:b], minlength=len(sets)).astype(np.uint32)).tobytes())
+    names = ["bucket", "chunk", "tokens", "docs", "common", "ids", "sums"]
+    rows = [
+        pa.array(wanted, pa.int32()), pa.array(np.full(len(wanted), number), pa.int64()), pa.array([packed[a:b].tobytes() for a, b in zip(cuts, last)], pa.binary()), pa.array(docs, pa.binary()),
+        pa.array([common[a:b].tobytes() for a, b in zip(first_common, last_common)], pa.binary()), pa.nulls(len(wanted), pa.list_(ids.type)), pa.nulls(len(wanted), pa.binary()),
+    ]
+    yield pa.RecordBatch.from_arrays(rows, names=names)
+    blobs = (size[often].astype(np.uint32), doc[places], common)
+    listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    yield pa.RecordBatch.from_arrays([pa.array([number % (1 << bits)], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), listed, pa.array([sums.tobytes()], pa.binary())], names=names)
+
+
+def _classed(bits: int):
+    """A bucket's answer to each chunk: its tokens that several documents hold, with the top bit of a place set where
+    the token is frequent."""
+
+    def run(group: pa.Table) -> pa.Table:
+        passed = pc.is_valid(group["ids"])
+        rows = group.filter(pc.invert(passed))
+        flat = _unpack(rows["tokens"])
+        known = np.unique(np.frombuffer(b"".join(x.as_buffer() for x in rows["common"]), U)) & _LOW
+        by = np.argsort(flat)
+        start, size = _runs(flat[by])
+        kind = np.where(size >= FREQUENT, 2, np.where(size > 1, 1, 0)).astype(np.uint8)
+        kind[np.isin(flat[by[start]], known)] = 2
+        place = np.empty(len(flat), np.uint8)
+        place[by] = np.repeat(kind, size)
+        at, chunks, tokens, docs = 0, [], [], []
+        for chunk, t, d in zip(rows["chunk"].to_pylist(), rows["tokens"], rows["docs"]):
+            to = at + len(t.as_buffer()) // 6
+            own = np.frombuffer(d.as_buffer(), np.uint16)
+            if len(own) != to - at:
+                own = np.repeat(np.arange(len(own) // 2, dtype=np.uint16), own.view(np.uint32))
+            several = np.flatnonzero(place[at:to])
+            if len(several):
+                chunks.append(chunk)
+                tokens.append(_pack(flat[at:to][several]).tobytes())
+                docs.append((own[several] | (place[at:to][several] == 2).astype(np.uint16) << np.uint16(15)).tobytes())
+            at = to
+        m = len(chunks)
+        bucket = pa.array(np.full(m, group["bucket"][0].as_py()), pa.int32())
+        made = [bucket, pa.array(chunks, pa.int64()), pa.array(tokens, pa.binary()), pa.array(docs, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, group.schema.field("ids").type), pa.nulls(m, pa.binary())]
+        give_back()
+        return pa.concat_tables([pa.table(made, schema=group.schema), group.filter(passed)])
+
+    return run
 
 
 # --- signatures ----------------------------------------------------------------------------------------------------
 
 
-def slack(n: int, percent: int) -> int:
+def slack(n, percent: int):
     """How many of n tokens a partner may lack at most."""
     return n - -(-percent * n // 100)
 
@@ -183,90 +226,114 @@ def _pairs(tokens: np.ndarray, need: int, m: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def signatures(s: np.ndarray, several: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[int, np.ndarray, bool, np.ndarray]:
-    """Lone tokens in the prefix, rare tokens in it, whether those are all its rare ones, and signatures of pairs."""
+def signatures(n: int, shared: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, bool, np.ndarray]:
+    """Of a set of n tokens, of which other documents hold those in shared (sorted) and many those marked frequent: the
+    rare tokens in its prefix, whether those are all its rare ones, and signatures of pairs."""
     none = np.zeros(0, np.int64)
-    t = slack(len(s), percent)
-    lone = int((~several).sum())
-    if lone > t or len(s) < 2:
-        return min(lone, t + 1), none, False, none
-    rare = s[several & ~frequent]
-    need = t + 1 - lone
+    need = slack(n, percent) + 1 - (n - len(shared))
+    if need <= 0 or n < 2:
+        return none, False, none
+    rare = shared[~frequent]
     if len(rare) >= need:
-        return lone, rare[:need], len(rare) == need, none
-    often = s[several & frequent]
-    combined = [_pairs(often, need - len(rare), m) for m in _subclasses(len(s), percent)]
-    return lone, rare, True, np.unique(np.concatenate(combined)) if combined else none
-
-
-DOCS = "n long, c1 long, c2 long, lone int, odd int, rare array<long>, all_rare boolean, often array<long>, tokens binary"
-
-
-def _describe(documents: DataFrame, k: int, percent: int, filters, key: str, text: str) -> DataFrame:
-    """A row for each document: its set's size and checksums, its signatures and, if it has any, its set."""
-    shared = documents.sparkSession.sparkContext.broadcast(filters)
-    fields = documents.select(F.col(key).alias("id")).schema.fields
+        return rare[:need], len(rare) == need, none
+    often = shared[frequent]
+    combined = [_pairs(often, need - len(rare), m) for m in _subclasses(n, percent)]
+    return rare, True, np.unique(np.concatenate(combined)) if combined else none
+
+
+def _docs(kind: T.DataType) -> T.StructType:
+    longs = T.ArrayType(T.LongType())
+    made = T.StructType().add("id", kind).add("n", "long").add("c1", "long").add("c2", "long").add("open", "boolean").add("lone", "integer").add("odd", "integer")
+    return made.add("rare", longs).add("all_rare", "boolean").add("often", longs).add("tokens", "binary")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+
+
+def _assembled(bits: int, percent: int):
+    """A row for each document of a chunk, from what all buckets have answered."""
+
+    def run(group: pa.Table) -> pa.Table:
+        passed = pc.is_valid(group["ids"])
+        head, rows = group.filter(passed), group.filter(pc.invert(passed))
+        ids = head["ids"][0].values
+        n, c1, c2 = np.frombuffer(head["sums"][0].as_buffer(), np.int64).reshape(3, -1)
+        blob = lambda name, kind: np.frombuffer(head[name][0].as_buffer(), kind)
+        sizes = [len(x.as_buffer()) // 6 for x in rows["tokens"]]
+        top = np.repeat(rows["bucket"].to_numpy().astype(U) << U(64 - bits), sizes)
+        place = np.frombuffer(b"".join(x.as_buffer() for x in rows["docs"]), np.uint16)
+        token = np.concatenate([top | _unpack(rows["tokens"]), np.repeat(blob("common", U), blob("tokens", np.uint32))]).view(np.int64)
+        often = np.concatenate([place >> 15 == 1, np.ones(len(blob("docs", np.uint16)), bool)])
+        doc = np.concatenate([place & 0x7FFF, blob("docs", np.uint16)]).astype(np.int64)
+        lone = n - np.bincount(doc, minlength=len(n))
+        is_open = (n > 0) & (lone <= slack(n, percent))
+        keep = is_open[doc]
+        token, often, doc = token[keep], often[keep], doc[keep]
+        order = np.lexsort((token, doc))
+        token, often = token[order], often[order]
+        cuts = np.searchsorted(doc[order], np.arange(len(n) + 1))
+        rare, pairs, whole = ([np.zeros(0, np.int64)] * len(n) for _ in range(3))
+        all_rare, odd = np.zeros(len(n), bool), lone.copy()
+        for k in np.flatnonzero(is_open).tolist():
+            s, f = token[cuts[k] : cuts[k + 1]], often[cuts[k] : cuts[k + 1]]
+            rare[k], all_rare[k], pairs[k] = signatures(int(n[k]), s, f, percent)
+            odd[k] += len(s) - int(f.sum())
+            whole[k] = s
+        held = [w.tobytes() if len(r) or len(p) else None for r, p, w in zip(rare, pairs, whole)]
+        made = [ids, pa.array(n), pa.array(c1), pa.array(c2), pa.array(is_open), pa.array(lone.astype(np.int32)), pa.array(odd.astype(np.int32)), _lists(rare), pa.array(all_rare), _lists(pairs), pa.array(held, pa.binary())]
+        give_back()
+        return pa.table(made, names=["id", "n", "c1", "c2", "open", "lone", "odd", "rare", "all_rare", "often", "tokens"])
+
+    return run
+
+
+def describe(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows (id, text): a row for each with its set's size and checksums, its lone tokens, whether it may have partners
+    (open), its signatures and, if it has any, the tokens that others hold too."""
+    kind = rows.schema["id"].dataType
+    bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    most = min(CHUNK_MOST, max(CHUNK, 16 << bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        several, frequent = shared.value
+        number, ids, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            rows: list[list] = [[] for _ in range(9)]
-            group: list[np.ndarray] = []
-
-            def settle():
-                if not group:
-                    return
-                flat = np.concatenate(group)
-                some = several.holds(flat)
-                often = np.zeros(len(flat), bool)
-                often[some] = frequent.holds(flat[some])
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(flat.view(U) * U(c)))]) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                at = 0
-                for s in group:
-                    to = at + len(s)
-                    lone, rare, all_rare, pairs = signatures(s, some[at:to], often[at:to], percent)
-                    c1, c2 = (int(x[to : to + 1].view(np.int64)[0]) - int(x[at : at + 1].view(np.int64)[0]) for x in sums)
-                    c1, c2 = ((c + (1 << 63)) % (1 << 64) - (1 << 63) for c in (c1, c2))
-                    for column, value in zip(rows, (len(s), c1, c2, lone, to - at - int(often[at:to].sum()), rare, all_rare, pairs, s.tobytes() if len(rare) or len(pairs) else None)):
-                        column.append(value)
-                    at = to
-                group.clear()
-
-            size = 0
+            column, at, done = batch.column(0), 0, 0
             for s in token_sets(batch.column(1), k):
-                group.append(s)
-                size += len(s)
-                if size > 500_000:
-                    settle()
-                    size = 0
-            settle()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=["id", *(c.split()[0] for c in DOCS.split(", "))])
+                sets.append(s)
+                size, done = size + len(s), done + 1
+                if size >= most or len(sets) == CHUNK_DOCS:
+                    ids.append(column.slice(at, done - at).take(pa.array(np.arange(done - at))))
+                    yield from _chunk(number, bits, pa.concat_arrays(ids), sets)
+                    number, ids, sets, size, at = number + 1, [], [], 0, done
+            ids.append(column.slice(at).take(pa.array(np.arange(len(column) - at))))  # copies: the batch needn't stay
+        if sets:
+            yield from _chunk(number, bits, pa.concat_arrays(ids), sets)
 
-    schema = f"id {fields[0].dataType.simpleString()}, {DOCS}"
-    return documents.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    sent = _sent(kind)
+    answers = rows.mapInArrow(tidy(run), sent).groupBy("bucket").applyInArrow(_classed(bits), sent)
+    return answers.groupBy("chunk").applyInArrow(_assembled(bits, percent), _docs(kind))
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough; sets: (id, n, tokens that several documents hold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            shared = np.zeros(batch.num_rows, np.int64)
+            for r, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                both = np.sort(np.concatenate([np.frombuffer(z.as_buffer(), np.int64) for z in (x, y)]))
+                shared[r] = (both[1:] == both[:-1]).sum()
+            yield batch.select([0, 1]).filter(pa.array(100 * shared >= percent * (total - shared), pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    kind = dict(pairs.dtypes)["a"]
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(name), F.col("n").alias(f"n{name}")), side)
+    return pairs.select("a", "b", "x", "y", "nx", "ny").mapInArrow(tidy(run), "a long, b long")
 
 
 def _enough(percent: int):
@@ -281,20 +348,20 @@ def _pairs_of_lists(nodes: DataFrame, percent: int) -> DataFrame:
     token is in so few documents; it is paired in place."""
     entry = F.struct("id", "n", "c", "lone", "r", "last", "all")
     lists = nodes.select(F.explode("rare").alias("sig"), entry.alias("x")).groupBy("sig").agg(F.array_sort(F.collect_list("x")).alias("xs")).where("size(xs) > 1")
-    rest = lambda x, k: F.filter(F.slice("xs", k + 2, F.size("xs")), lambda y: (y["c"] != x["c"]) & (y["id"] != x["id"]) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent))
+    rest = lambda x, k: F.filter(F.slice("xs", k + 2, F.size("xs")), lambda y: (y["c"] != x["c"]) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent))
     pairs = F.flatten(F.transform("xs", lambda x, k: F.transform(rest(x, k), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     each = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     flat = each.select("shared", *(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("id", "n", "lone", "r", "last", "all")))
     return flat.where(_enough(percent)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
-TILES = "tile long, ids binary, sizes binary, tokens binary"
+TILES = "tile long, ids binary, wholes binary, sizes binary, tokens binary"
 
 
 def _tile(group: pa.Table) -> pa.Table:
-    sets = [np.frombuffer(x.as_py(), np.int64) for x in group["tokens"]]
-    blobs = (group["id"].to_numpy().astype(np.int64), np.array([len(s) for s in sets], np.int64), np.concatenate(sets))
-    return pa.table({"tile": group["tile"].slice(0, 1)} | {n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(("ids", "sizes", "tokens"), blobs)})
+    sets = [np.frombuffer(x.as_buffer(), np.int64) for x in group["tokens"]]
+    blobs = (group["id"].to_numpy(), group["n"].to_numpy(), np.array([len(s) for s in sets], np.int64), np.concatenate(sets))
+    return pa.table({"tile": group["tile"].slice(0, 1)} | {n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(("ids", "wholes", "sizes", "tokens"), blobs)})
 
 
 def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -318,53 +385,91 @@ def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _by_tiles(nodes: DataFrame, sets: DataFrame, work: Scratch, percent: int) -> DataFrame:
+def _families(members: DataFrame, work: Scratch) -> DataFrame:
+    """(family, super): small families are one with those that meet in the list that most of them share, so that a list
+    of many small families is some full tiles and not a pair of tiles for each two of them."""
+    shared = members.select(F.explode("often").alias("sig"), "family").distinct()
+    meeting = shared.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
+    home = shared.join(meeting, "sig").groupBy("family").agg(F.max_by("sig", F.struct("k", "sig")).alias("home"))
+    sizes = members.groupBy("family").agg(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS).alias("size"))
+    joined = sizes.join(home, "family", "left")
+    small = (F.col("size") < 0.5) & F.col("home").isNotNull()
+    return work.put("families", joined.select("family", F.when(small, F.xxhash64(F.lit("list"), "home")).otherwise(F.xxhash64(F.lit("hub"), "family")).alias("super"), small.alias("mixed")))
+
+
+def _by_tiles(nodes: DataFrame, sets: DataFrame, work: Scratch, percent: int) -> DataFrame | None:
     """Edges (a, b) that join what lists of token pairs hold together and components don't."""
-    members = nodes.where("size(often) > 0").withColumn("same", F.col("c") == F.col("family"))
-    sizes = members.groupBy("family", "same").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles"))
+    members = nodes.where("size(often) > 0")
+    members = members.join(_families(members, work), "family").withColumn("same", ~F.col("mixed") & (F.col("c") == F.col("family")))
+    members = work.put("members", members.select("id", "n", "often", "super", "same"))
+    sizes = members.groupBy("super", "same").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles"))
     parts = work.put("parts", sizes)
-    tile = lambda k: F.xxhash64("family", "same", k.cast("long"))
+    tile = lambda k: F.xxhash64("super", "same", k.cast("long"))
     # families that share a list, and each family that isn't one component
-    shared = members.select(F.explode("often").alias("sig"), "family").distinct()
-    cross = shared.join(shared.withColumnRenamed("family", "other"), "sig").where("family < other").select("family", "other").distinct()
-    of = parts.select("family", "same", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("family", "same", tile(F.col("t")).alias("tile"))
-    one, two = of.withColumnsRenamed({"same": "s1", "tile": "t1"}), of.withColumnsRenamed({"family": "other", "same": "s2", "tile": "t2"})
-    own = one.join(two, F.col("family") == F.col("other")).where("not (s1 and s2) and t1 <= t2").select("t1", "t2")
-    pairs = work.put("tile_pairs", cross.join(one, "family").join(two, "other").select("t1", "t2").unionByName(own))
-    kind = dict(nodes.dtypes)["id"]
+    shared = members.select(F.explode("often").alias("sig"), "super").distinct()
+    cross = shared.join(shared.withColumnRenamed("super", "other"), "sig").where("super < other").select("super", "other").distinct()
+    of = parts.select("super", "same", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("super", "same", tile(F.col("t")).alias("tile"))
+    one, two = of.withColumnsRenamed({"same": "s1", "tile": "t1"}), of.withColumnsRenamed({"super": "other", "same": "s2", "tile": "t2"})
+    own = one.join(two, F.col("super") == F.col("other")).where("not (s1 and s2) and t1 <= t2").select("t1", "t2")
+    pairs = work.put("tile_pairs", cross.join(one, "super").join(two, "other").select("t1", "t2").unionByName(own))
     if pairs.isEmpty():
-        return nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+        return None
     wanted = pairs.select(F.explode(F.array("t1", "t2")).alias("tile")).distinct()
-    dealt = members.join(parts, ["family", "same"]).select("id", tile(F.pmod(F.xxhash64("id"), "tiles")).alias("tile"))
-    tiles = work.put("tiles", dealt.join(wanted, "tile", "left_semi").join(sets, "id").select("tile", "id", "tokens").groupBy("tile").applyInArrow(_tile, TILES))
+    dealt = members.join(parts, ["super", "same"]).select("id", tile(F.pmod(F.xxhash64("id"), "tiles")).alias("tile"))
+    tiles = work.put("tiles", dealt.join(wanted, "tile", "left_semi").join(sets, "id").select("tile", "id", "n", "tokens").groupBy("tile").applyInArrow(_tile, TILES))
     side = lambda k: tiles.select(*(F.col(c).alias(f"t{k}" if c == "tile" else f"{c}{k}") for c in tiles.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges = []
             for r in range(batch.num_rows):
-                ids1, n1, x, ids2, n2, y = (np.frombuffer(batch.column(k)[r].as_buffer(), np.int64) for k in range(6))
-                both = _overlaps((n1, x), (n2, y))
+                ids1, n1, s1, x, ids2, n2, s2, y = (np.frombuffer(batch.column(k)[r].as_buffer(), np.int64) for k in range(8))
+                both = _overlaps((s1, x), (s2, y))
                 edges += forest(100 * both >= percent * (n1[:, None] + n2[None, :] - both), ids1, ids2)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    rows = pairs.join(side(1), "t1").join(side(2), "t2").select("ids1", "sizes1", "tokens1", "ids2", "sizes2", "tokens2")
+    blobs = ("ids", "wholes", "sizes", "tokens")
+    rows = pairs.join(side(1), "t1").join(side(2), "t2").select(*(f"{c}{k}" for k in (1, 2) for c in blobs))
     with batches_of(work.spark, 4):
-        found = work.put("tile_links", rows.mapInArrow(run, "a long, b long"))
-    return found.where("a <> b").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+        found = work.put("tile_links", rows.mapInArrow(tidy(run), "a long, b long"))
+    work.drop("tiles", "tile_pairs", "members", "parts", "families")
+    return found.where("a <> b")
+
+
+# --- the join --------------------------------------------------------------------------------------------------------
 
 
 def link(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id for every row of documents."""
+    """key, n_shingles, component_id for every row of documents; the key may be of any type that has an order."""
     spark = documents.sparkSession
-    small_batches(spark)
     work = Scratch(spark, "ngram-join")
-    filters = classes(documents.select(F.col(text).alias("text")), k)
-    docs = work.put("docs", _describe(documents, k, percent, filters, key, text))
-    held = ("id", "n", "lone", "odd", "rare", "all_rare", "often", "tokens")
-    reps = docs.where("n > 0").groupBy("c1", "c2").agg(F.min_by(F.struct(*held), "id").alias("r")).select("c1", "c2", "r.*")
-    reps = work.put("reps", reps)
-    sets = reps.where("tokens is not null").select("id", "tokens")
+    with batches_of(spark, ARROW_ROWS):
+        docs = work.put("docs", describe(documents.select(F.col(key).alias("id"), F.col(text).alias("text")), k, percent))
+        named, several = _components(docs, work, percent)
+    if several is None:
+        linked, alone = docs.where("open"), docs.where("not open")
+        rows = linked.select("id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("id", "n", "component")
+        rows = rows.unionByName(alone.select("id", "n", F.col("id").alias("component")))
+    else:  # rows that share an id are one node
+        once = lambda rows: rows.join(several, "id", "left_anti")
+        by_id = docs.select("id", "c1", "c2").join(several, "id", "left_semi").join(named, ["c1", "c2"]).groupBy("id").agg(F.min("component").alias("component"))
+        rows = once(docs.where("open")).select("id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("id", "n", "component")
+        rows = rows.unionByName(once(docs.where("not open")).select("id", "n", F.col("id").alias("component")))
+        rows = rows.unionByName(docs.select("id", "n").join(by_id, "id").select("id", "n", "component"))
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _components(docs: DataFrame, work: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(c1, c2, component) of the sets that may have partners or share an id with another set; and those ids, if any."""
+    several = work.put("several", docs.where("id is not null").groupBy("id").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a <> b").select("id"))
+    several = None if several.isEmpty() else several
+    held = docs.where("open")
+    if several is not None:
+        held = held.unionByName(docs.where("n > 0 and not open").join(several, "id", "left_semi"))
+    what = ("n", "lone", "odd", "rare", "all_rare", "often", "tokens")
+    reps = held.groupBy("c1", "c2").agg(F.min("id").alias("first"), F.first(F.struct(*what)).alias("r"))
+    reps = work.put("reps", reps.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "first", "r.*"))
+    sets = reps.where("tokens is not null").select("id", "n", "tokens")
     nodes = reps.where("tokens is not null").select("id", "n", "lone", "odd", "rare", "all_rare", "often")
 
     # hubs: each node is checked against the hub that it meets in most of its lists
@@ -386,10 +491,20 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id
     singles = work.put("candidates", _pairs_of_lists(nodes, percent))
     rest = work.put("rest", verify(singles, sets, percent))
     blocks = _by_tiles(nodes, sets, work, percent)
-    joined = stars.unionByName(rest).unionByName(blocks)
-    final = components(joined, work, "cc")
-
-    named = reps.select("c1", "c2", F.col("id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    found = docs.where("n > 0").select("id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("id", "n", "component")
-    alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return found.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    edges = stars.unionByName(rest)
+    edges = edges if blocks is None else edges.unionByName(blocks)
+    if several is not None:
+        own = docs.where("n > 0").select("id", "c1", "c2").join(several, "id", "left_semi").join(reps.select("c1", "c2", F.col("id").alias("a")), ["c1", "c2"]).select("id", "a").distinct()
+        edges = edges.unionByName(own.join(own.groupBy("id").agg(F.min("a").alias("b")), "id").where("a <> b").select("a", "b"))
+
+    # components among the hubs that nodes have joined, then named by their smallest id
+    home = nodes.select("id", "c")
+    at = lambda side: home.select(F.col("id").alias(side), F.col("c").alias(f"c{side}"))
+    lifted = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    final = components(lifted, work, "cc")
+    placed = reps.select("c1", "c2", "id", "first").join(home, "id", "left").withColumn("node", F.coalesce("c", "id")).join(final, "node", "left")
+    placed = placed.select("c1", "c2", "first", F.coalesce("component", "node").alias("g"))
+    least = placed.groupBy("g").agg(F.min("first").alias("component"))
+    named = work.put("named", placed.join(least, "g").select("c1", "c2", "component"))
+    work.drop("reps", "homes", "stars", "nodes", "candidates", "rest", *(["tile_links"] if blocks is not None else []))
+    return named, several

@@ -81,11 +81,65 @@ def test_every_close_pair_shares_a_signature(percent):
         for s in (x, y):
             often = frequent(s)
             several = np.isin(s, both) | often
-            _, rare, _, pairs = ngram_join.signatures(s, several, often, percent)
+            rare, _, pairs = ngram_join.signatures(len(s), s[several], often[several], percent)
             found.append(set(rare.tolist()) | {("pair", p) for p in pairs.tolist()})
         assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("bits, chunk", [(6, 1), (12, 1), (18, 1 << 20)])
+def test_classes_are_exact(spark, monkeypatch, bits, chunk):
+    """Small chunks and many buckets: which tokens are lone, rare or frequent is what counting says."""
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", bits)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rows = [*corpus(7, 30, 60), (-1, " ".join(f"v{k % 400}" for k in range(6000))), (-2, None), (-3, "")]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(3).sortWithinPartitions("id")
+    got = {r.id: r for r in ngram_join.describe(frame, 4, 85).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    counts = {}
+    for s in sets.values():
+        for token in s:
+            counts[token] = counts.get(token, 0) + 1
+    assert set(got) == set(sets)
+    for i, s in sets.items():
+        lone, frequent = sum(counts[t] == 1 for t in s), sum(counts[t] >= ngram_join.FREQUENT for t in s)
+        assert (got[i].n, got[i].lone) == (len(s), lone)
+        assert got[i].open == (len(s) > 0 and lone <= len(s) - -(-85 * len(s) // 100))
+        assert not got[i].open or got[i].odd == len(s) - frequent
+        assert got[i].tokens is None or len(got[i].tokens) // 8 == len(s) - lone
+
+
+def test_small_families_of_a_list_share_tiles(spark, monkeypatch):
+    """Very many short documents of common words: lists of many families, none of which is one component."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(sorted(rng.sample("abcdefghijklmnop", 9)))) for k in range(700)]
+    got = {r.doc_id: r for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, 75).collect()}
+    assert {i: r.component_id for i, r in got.items()} == brute(rows, 1, 75)[1]
+
+
+def test_rows_that_share_an_id(spark):
+    one, two, three = "a b c d e f g h", "p q r s t u v w", "k l m n o k l m"
+    rows = [(5, one, "x", 1), (5, two, "x", 1), (4, one + " i", "x", 1), (6, two, "x", 1), (7, three, "x", 1), (7, None, "x", 1), (None, three, "x", 1), (None, one, "x", 1), (None, None, "x", 1), (9, "z", "x", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, component_id string, n int")
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(frame, 1, 80).select("doc_id", "n_shingles", "component_id").collect() if r.doc_id is not None)
+    assert [g[1:] for g in got] == [(4, 9, 4), (5, 8, 4), (5, 8, 4), (6, 8, 4), (7, 0, 7), (7, 5, 7), (9, 1, 9)]
+    lost = sorted((r.n_shingles, r.component_id) for r in ngram_join.link(frame, 1, 80).where("doc_id is null").collect() if r.n_shingles)
+    assert lost == [(5, 7), (8, 4)]
+
+
+def test_keys_of_any_type(spark):
+    rows = corpus(4, 6, 12)
+    plain = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    frame = spark.createDataFrame(rows, "i long, text string").selectExpr("struct(lpad(string(i), 6, '0') as a, i as b) as k", "text")
+    got = {r.k.b: (r.n_shingles, r.component_id.b) for r in ngram_join.link(frame, 4, 85, key="k").collect()}
+    assert got == {r.doc_id: (r.n_shingles, r.component_id) for r in plain}
+
+
+def test_settings_stay(spark):
+    before = {k: v for k, v in spark.conf.getAll.items() if "arrow" in k}
+    ngram_join.link(frames.docs(spark), 5, 80).count()
+    assert before == {k: v for k, v in spark.conf.getAll.items() if "arrow" in k}
+
+
 def test_odd_documents(spark):
     got = {}
     for r in ngram_join.link(frames.docs(spark), 5, 80).collect():
