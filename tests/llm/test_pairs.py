@@ -189,9 +189,25 @@ def test_error_bound_is_rigorous():
     rng = np.random.default_rng(1)
     raw = rng.normal(size=(200, 24)) * np.exp(rng.normal(size=(200, 24)))
     raw[100:] = raw[:100] + rng.normal(size=(100, 24)) * 0.3
-    table = pa.table({"label": [1] * 200, "dim": pa.array([24] * 200, pa.int32()), "tile": [0] * 200, "rep": list(range(200)), "copies": [1] * 200, "raw": [r.tobytes() for r in raw]})
+    table = pa.table({"label": [1] * 200, "dim": pa.array([24] * 200, pa.int32()), "tile": [0] * 200, "class": list(range(200)), "copies": [1] * 200, "raw": [r.tobytes() for r in raw]})
     built = embedding_dedup._build(table)
-    tile = embedding_dedup._Tile(24, *(built[n][0] for n in ("reps", "copies", "q", "stats", "raw")))
-    exact = tile.x @ tile.x.T
+    tile = embedding_dedup._Tile(24, *(built[n][0] for n in ("classes", "copies", "q", "stats")))
+    x = np.frombuffer(built["raw"][0].as_buffer(), float).reshape(-1, 24)
+    exact = x @ x.T
+    left = 0
     for t in (0.2, 0.9, 0.93, 0.99):
-        assert (embedding_dedup.links(tile, tile, t) == (exact >= t)).all()
+        sure, open_pairs = embedding_dedup.screen(tile, tile, t)
+        assert not (sure & open_pairs).any() and open_pairs.sum() < 4000
+        left += open_pairs.sum()
+        assert ((sure | embedding_dedup.settle(x, x, open_pairs, t)) == (exact >= t)).all()
+    assert left > 0
+
+
+def test_vectors_that_share_an_id(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, x, 1), (5, y, 1), (6, [1.0, 0.1, 0.0], 1), (7, [0.1, 1.0, 0.0], 1), (6, None, 1), (8, None, 1), (8, [0.0], 1), (None, y, 1), (None, [0.0, 0.0, 1.0], 1), (None, None, None), (9, [1e200, 0.0, 0.0], 1)]
+    frame = spark.createDataFrame([(*r, 3, 4, 5) for r in rows], "vec_id long, embedding array<double>, label int, n_links int, rep int, tile int")
+    got = sorted(embedding_dedup.link(frame).select("vec_id", "n_links", "component_id", "kept").collect(), key=str)
+    have = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in got], key=str)
+    want = [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (6, 0, 5, False), (7, 2, 5, False), (8, 0, 8, True), (8, 0, 8, True), (9, 0, 9, True), (None, 2, 5, False), (None, 0, None, True), (None, 0, None, True)]
+    assert have == sorted(want, key=str)
