@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from ridgeline.llm import chat_format, decontamination, language_id, license_scan, packing, quality, sharding, url_filter
+from ridgeline.llm._text import ALNUM, word_hash
 from ridgeline.llm.queries import tokenizer_path
 from tests.llm import frames
 from tests.llm.test_text import ALNUM_RE, LOWER
@@ -258,6 +259,36 @@ def test_decontamination_without_items_and_with_slop(spark):
     assert found(0) == {1} and found(1) == {1, 2} and found(4) == {1, 2, 3}
 
 
+def test_index_is_kept_for_other_test_sets(spark, tmp_path, monkeypatch):
+    """Proximity against brute force, from an index that was written before the items were known; keys are strings."""
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 200)
+    rng = random.Random(9)
+    texts = [(f"d{k}", " ".join(rng.choice("abcdefg") for _ in range(rng.choice((0, 3, 20, 70, 500))))) for k in range(60)]
+    decontamination.build_index(spark.createDataFrame(texts, "name string, text string"), f"file://{tmp_path}/index", key="name")
+    index = decontamination.Index.open(spark, f"file://{tmp_path}/index")
+    counts = {}
+    for _, t in texts:
+        for w in low(t):
+            counts[w] = counts.get(w, 0) + 1
+    names = sorted(counts, key=lambda w: int(word_hash(w, ALNUM)[0]))
+    vocabulary = np.concatenate([word_hash(w, ALNUM) for w in names])
+    assert decontamination.term_counts(index, vocabulary).tolist() == [counts[w] for w in names]
+    for seed in (1, 2):
+        items = [(k, " ".join(random.Random(seed * 100 + k).choice("abcdefg") for _ in range(k % 4 + 3))) for k in range(15)]
+        for slop in (0, 1, 2):
+            got = {r.key: set(r["items"]) for r in decontamination.search(index, spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()}
+            for name, t in texts:
+                w = low(t)
+                want = set()
+                for k, q in items:
+                    q = low(q)
+                    lead = min(range(len(q)), key=lambda o: counts.get(q[o], 0))  # noqa: B023
+                    near = lambda p, o: q[o] in w[max(0, p + o - slop) : max(0, p + o + slop + 1)]  # noqa: E731, B023
+                    if any(w[p + lead] == q[lead] and all(near(p, o) for o in range(len(q))) for p in range(-lead, len(w) - lead)):
+                        want.add(str(k))
+                assert got[name] == want
+
+
 # --- licenses ---------------------------------------------------------------------------------------------------------------------
 
 
