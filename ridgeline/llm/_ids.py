@@ -13,7 +13,7 @@ FILTER_BITS = 1 << 26
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """rows whose key isn't among ids (a written table). A Bloom filter of bounded size passes most rows by; the rest
-    are joined, so the result is exact. Rows with a null key stay."""
+    are joined, so the result is exact. Rows with a null key stay. A key may be a struct; ids are distinct."""
     spark, columns = rows.sparkSession, rows.columns
     size = 1 << 10
     while size < min(16 * ids.count(), FILTER_BITS):

@@ -16,7 +16,8 @@ _LIBC = ctypes.CDLL(None)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds what one Arrow batch holds for the rest of the session (never raises the setting)."""
+    """Bounds what one Arrow batch holds for the rest of the session (never raises the setting): for an application
+    whose results are computed later, after the operator has returned."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

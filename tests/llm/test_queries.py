@@ -41,6 +41,24 @@ def test_pipeline_takes_odd_rows(spark, folder):
             got.count()
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark, folder):
+    """Near duplicates: rows of one id and other texts are other documents; repeated rows are one."""
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    a, b, c = frames.PROSE, " ".join(f"b{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    rows = [(1, a, "u"), (1, b, "u"), (2, b, "u"), (3, c, "u"), (3, c, "t"), (3, c, "t"), (None, c + " tail", "u"), (4, None, "u"), (4, None, "u"), (5, "", "u")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, {"k": "v"}) for i, t, s in rows], "doc_id long, text string, lang string, source string, Document int, extra map<string,string>")
+    got = sorted(((r.doc_id, r.text, r.source) for r in stage(spark, docs, folder).collect()), key=str)
+    assert got == sorted([(1, a, "u"), (1, b, "u"), (None, c + " tail", "u"), (4, None, "u"), (5, "", "u")], key=str)
+
+
+def test_pipeline_leaks_by_row(spark, tmp_path):
+    stage = dict(corpus_pipeline.STAGES)["benchmark_decontamination"]
+    spark.createDataFrame([(1, frames.PROSE)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "x " + frames.PROSE), (1, "clean"), (None, frames.PROSE), (None, "clean too"), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, docs, f"file://{tmp_path}").collect()), key=str)
+    assert got == sorted([(1, "clean"), (None, "clean too"), (2, None), (3, "")], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.WHOLE_SQL))
 def test_whole_matches_sql(name, spark, folder, duck):
     same(queries.WHOLE[name](spark, folder), duck, queries.WHOLE_SQL[name])
