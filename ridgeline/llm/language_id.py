@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Every training text's n-grams (2 to 4 bytes of UTF-8, A-Z as a-z) are counted by language in each task and summed over
-tasks; the matrix of log-probabilities (languages x 2**15) is broadcast, and batches of texts are scored in numpy.
+tasks; the matrix of log-probabilities (languages x 2**15) is broadcast, and batches of texts are scored in numpy. The
+language of the largest sum of log-prior and all n-grams' log-probabilities is predicted; its score is its share when
+the evidence is weighed as that of ``EVIDENCE`` n-grams.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learnt;
 ties go to the first language in order; long texts are read whole; rows whose language is null are not learnt
@@ -18,13 +20,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import Scratch, small_batches
+from ._store import ARROW_ROWS, Scratch, batches_of, tidy
 from ._text import PIECE, U, byte_views
 
 #: Hashed n-grams; what a task or the model holds is so many numbers for each language.
 WIDTH = 1 << 15
 SIZES = (2, 3, 4)
-#: A score weighs its evidence as if a text had so many n-grams at most: n-grams overlap and are no independent witnesses.
+#: A score (not the decision) weighs its evidence as if a text had so many n-grams at most: n-grams overlap and are no
+#: independent witnesses.
 EVIDENCE = 60
 #: More languages than this are taken for a mistake in the column.
 MAX_LANGUAGES = 1000
@@ -65,7 +68,6 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def train(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, their log-priors, and log-probabilities (languages x WIDTH), from all rows."""
-    small_batches(documents.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -89,8 +91,9 @@ def train(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple
 
     schema = "lang string, texts long, counts binary"
     rows = documents.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    parts = rows.mapInArrow(count, schema)
-    summed = Scratch(documents.sparkSession, "language-id").put("counts", parts.groupBy("lang").applyInArrow(add, schema))
+    parts = rows.mapInArrow(tidy(count), schema)
+    with batches_of(documents.sparkSession, ARROW_ROWS):
+        summed = Scratch(documents.sparkSession, "language-id").put("counts", parts.groupBy("lang").applyInArrow(add, schema))
     if summed.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     found = sorted(summed.collect(), key=lambda r: r.lang)  # a row for each language
@@ -111,7 +114,6 @@ def _inside(offsets: np.ndarray, size: int, n: int) -> np.ndarray:
 
 def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray]) -> Callable[[Column], Column]:
     """A function of a text column: struct<lang_pred, score>."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -130,9 +132,9 @@ def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarra
                     pred.append("und")
                     score.append(0.0)
                     continue
+                best = int(np.argmax(sums[k] + prior))
                 log = sums[k] * min(1.0, EVIDENCE / max(grams[k], 1)) + prior
                 share = np.exp(log - log.max())
-                best = int(np.argmax(share))
                 pred.append(names[best])
                 score.append(float(share[best] / share.sum()))
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
@@ -166,4 +168,6 @@ def identify(documents: DataFrame, key: str = "doc_id", lang: str = "lang", text
     """key, held_out, lang_pred, score: learns from the documents that aren't held out and judges all."""
     learnt = predictor(documents.sparkSession, train(documents.where(~held_out(key)), lang, text))
     judged = documents.select(key, held_out(key).alias("_h"), learnt(F.col(text)).alias("_s"))
+    with batches_of(documents.sparkSession, ARROW_ROWS):
+        judged = Scratch(documents.sparkSession, "language-id").put("judged", judged)
     return judged.select(key, F.col("_h").alias("held_out"), "_s.lang_pred", "_s.score")

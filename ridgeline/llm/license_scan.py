@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import ARROW_ROWS, Scratch, batches_of, tidy
 from ._text import ALNUM, U, word_hash, words
 
 #: Phrases that count wherever their words stand consecutively, and their labels.
@@ -173,9 +173,9 @@ class _Matcher:
 def scan(documents: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score: one row for each of documents."""
     spark = documents.sparkSession
-    small_batches(spark)
     vocabulary, _ = _vocabulary(phrases, templates)
-    counts = token_counts(documents, vocabulary, text)
+    with batches_of(spark, ARROW_ROWS):
+        counts = token_counts(documents, vocabulary, text)
     shared = spark.sparkContext.broadcast((vocabulary, counts))  # as large as the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +202,5 @@ def scan(documents: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(bounds).astype(np.int64)), pa.array(hits), pa.array(low, mask=low < 0), pa.array(high, mask=low < 0), *joined, pa.array(score)], names=[key, *(c.split()[0] for c in OUT.split(", "))])
 
     kind = dict(documents.select(key).dtypes)[key]
-    return documents.select(key, F.col(text).alias("text")).mapInArrow(run, f"{key} {kind}, {OUT}")
+    with batches_of(spark, ARROW_ROWS):
+        return Scratch(spark, "license-scan").put("found", documents.select(key, F.col(text).alias("text")).mapInArrow(tidy(run), f"{key} {kind}, {OUT}"))

@@ -7,7 +7,8 @@ and each partition packs its documents one after another into sequences, cutting
 at a partition's end is cut into powers of two, which need no padding.
 
 The tokenizer works on each distinct white-space-separated word once for a worker: it never merges across
-ASCII white space. The cache of words is bounded.
+ASCII white space. The cache of words is bounded; words are told apart by 64-bit hashes (with 2,000,000 words in it, the
+chance that any two of them are taken for one is about 1e-7).
 
 Defined cases: a null or empty text has only the end id; long texts spread over sequences; ties are ordered by id
 and checksum, and repeated rows are packed each; extra columns are ignored; an empty table gives an empty result.
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import ARROW_ROWS, Scratch, batches_of, tidy
 from ._text import SPACED, U, mix, words
 
 LENGTH = 4096
@@ -201,7 +202,6 @@ class _Packer:
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
     spark = documents.sparkSession
-    small_batches(spark)
     rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     total, count = rows.select(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*")).first()
     parts = max(1, min(total // PARTITION_BYTES, 100_000))
@@ -212,7 +212,8 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
         return pa.array(curve_keys(column) << 31 | tie.to_numpy())
 
     some = rows.sample(min(1.0, BOUND_SAMPLE / count), seed=7) if count else rows
-    seen = some.select(place("_text", tie).alias("place"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")).toPandas().sort_values("place") if parts > 1 else None
+    with batches_of(spark, ARROW_ROWS):
+        seen = some.select(place("_text", tie).alias("place"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")).toPandas().sort_values("place") if parts > 1 else None
     cuts = np.zeros(0, np.int64)
     if seen is not None:
         weight = np.cumsum(seen["size"].to_numpy() + 1)
@@ -241,4 +242,5 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
         yield packer.take(names, kind)
 
     kind = dict(documents.select(key).dtypes)[key]
-    return ordered.select("_key", "_text").mapInArrow(run, f"{key} {kind}, {OUT}")
+    with batches_of(spark, ARROW_ROWS):
+        return Scratch(spark, "packing").put("pieces", ordered.select("_key", "_text").mapInArrow(tidy(run), f"{key} {kind}, {OUT}"))

@@ -2,8 +2,10 @@
 
 Overlapping heuristic labellers each vote on every document: seven say junk or nothing, one says clean or nothing. Expectation-maximisation over the counts of
 all documents' vote patterns (at most 3 ** labellers rows) estimates how accurate each labeller is and how common junk
-is; a pattern's posterior is its documents' soft label. A logistic model on hashed byte 3-grams is then fitted to the
-posteriors of a bounded sample (``SAMPLE`` documents of the smallest id hashes) and scores every document.
+is; a pattern's posterior is its documents' soft label. A logistic model on hashed features of the text itself (the votes
+stay out of it) is then fitted to the posteriors of a bounded sample (``SAMPLE`` documents of the smallest id hashes) and
+scores every document. Its features are shares, in buckets, of byte 3-grams, of 4-grams of character classes (small and
+capital letters, digits, each other ASCII character by itself), and of words by how often the text had them before.
 
 Defined cases: a null or empty text, or one without a word, has quality 0 and is rejected; with too few rows to
 train, the posterior is the score; ties have equal scores; repeated rows are each scored; long texts are read whole;
@@ -19,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import ARROW_ROWS, Scratch, batches_of, tidy
 from ._text import PIECE, SPACED, byte_views, words
 
 #: Documents that the linear model is fitted to, at most (a documented bound).
 SAMPLE = 4000
-#: Hashed features.
-WIDTH = 1 << 12
+#: Buckets of 3-grams, of class 4-grams, and of words by recurrence.
+GRAMS, CLASSES, RECURRENCE = 1 << 12, 1 << 11, 16
+WIDTH = GRAMS + CLASSES + RECURRENCE
 #: Documents that score under this are rejected.
 THRESHOLD = 0.5
 #: Names of the labellers, in the order of the votes.
@@ -108,10 +111,32 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post, table, float(share)
 
 
-def _features(part: np.ndarray) -> np.ndarray:
-    """The bucket of the 3-gram at each byte, its case kept."""
-    x = part.astype(np.uint32)
-    return ((x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA6B) ^ x[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 12)
+_CLASS = np.arange(256, dtype=np.uint32)
+_CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 65, 97, 48, 97
+
+
+def _grams(x: np.ndarray, size: int, buckets: int) -> np.ndarray:
+    """The bucket of the n-gram at each place."""
+    n = max(0, len(x) - size + 1)
+    h = np.full(n, size, np.uint32)
+    for k in range(size):
+        h = (h ^ x[k : k + n]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h >> np.uint32(33 - buckets.bit_length())).astype(np.int64)
+
+
+def _recurrence(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each row, how many of its words it had 0, 1, 2.., 4.., ... times before, and whether right before."""
+    rows = len(bounds) - 1
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    order = np.lexsort((hashes, row))
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (hashes[order][1:] != hashes[order][:-1]) | (row[order][1:] != row[order][:-1])]))
+    times = np.empty(len(row), np.int64)
+    times[order] = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    again = np.zeros(len(row), np.int64)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+    kind = np.minimum(np.log2(times + 1).astype(np.int64), RECURRENCE // 2 - 1) * 2 + again
+    return np.bincount(row * RECURRENCE + kind, minlength=rows * RECURRENCE).reshape(rows, RECURRENCE)
 
 
 def _vote_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -124,86 +149,80 @@ def _vote_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
                 code = pattern_code(votes_of(bounds, h, starts, ends, part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(code)], names=[key, "pattern"])
 
-    return documents.select(key, F.col(text).alias("_text")).mapInArrow(run, type(documents.schema)(list(fields)).add("pattern", "long"))
+    return documents.select(key, F.col(text).alias("_text")).mapInArrow(tidy(run), type(documents.schema)(list(fields)).add("pattern", "long"))
 
 
 def weak_labels(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[dict[int, float], np.ndarray, float]:
     """Posterior of clean by vote pattern, the labellers' vote probabilities, and the share of clean documents."""
-    small_batches(documents.sparkSession)
-    rows = _vote_rows(documents, key, text).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** labellers rows
+    with batches_of(documents.sparkSession, ARROW_ROWS):
+        rows = _vote_rows(documents, key, text).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3 ** labellers rows
     patterns = np.array([[r.pattern // 3**k % 3 for k in range(len(LABELLERS))] for r in rows], int).reshape(-1, len(LABELLERS))
     post, table, share = expectation_maximisation(patterns, np.array([r.n for r in rows], float))
     return {r.pattern: float(p) for r, p in zip(rows, post)}, table, share
 
 
-def _row_parts(offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    for k in range(len(offsets) - 1):
-        for at in range(offsets[k], max(offsets[k + 1], offsets[k] + 1), PIECE):
-            yield k, at, min(offsets[k + 1], at + PIECE + 2)
+def _root(counts: np.ndarray) -> np.ndarray:
+    return np.sqrt(counts / max(counts.sum(), 1))
 
 
-def _vectors(column: pa.Array, codes: list[int]) -> Iterator[np.ndarray]:
-    """Each row's share of its 3-grams in each bucket, scaled to length one; its votes are features too."""
+def _vectors(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's features: square roots of shares, so that each kind has length one, or zero."""
     data, offsets = byte_views(column)
-    totals = np.zeros(WIDTH)
-    for k, a, b in _row_parts(offsets):
-        if b - a >= 3:
-            totals += np.bincount(_features(data[a:b]), minlength=WIDTH)
-        if b >= offsets[k + 1]:
-            yield np.concatenate([np.sqrt(totals / max(totals.sum(), 1)), _VOTES[codes[k]]])
-            totals = np.zeros(WIDTH)
-
-
-def _vote_table() -> np.ndarray:
-    size = len(LABELLERS)
-    code = np.arange(3**size)
-    votes = code[:, None] // 3 ** np.arange(size) % 3
-    return np.concatenate([votes == JUNK, votes == CLEAN], axis=1) * 0.5
-
-
-_VOTES = _vote_table()
+    recurring = (row for _, _, bounds, h, _, _, _ in words(column, SPACED) for row in _recurrence(bounds, h))
+    for k, recurs in enumerate(recurring):
+        grams, classes = np.zeros(GRAMS), np.zeros(CLASSES)
+        for at in range(offsets[k], offsets[k + 1], PIECE):  # n-grams that begin in a piece may end in the next
+            part = data[at : min(offsets[k + 1], at + PIECE + 3)].astype(np.uint32)
+            grams += np.bincount(_grams(part[: PIECE + 2], 3, GRAMS), minlength=GRAMS)
+            classes += np.bincount(_grams(_CLASS[part], 4, CLASSES), minlength=CLASSES)
+        yield np.concatenate([_root(grams), _root(classes), _root(recurs)])
 
 
 def fit(documents: DataFrame, posterior: dict[int, float], key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
     """Weights and, last, the bias of a logistic model; None where both classes aren't there."""
-    order = F.xxhash64(F.col(key))
-    limit = documents.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = documents.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("_text"))
+    limit = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if limit is None:
         return None
-    chosen = documents.where(order <= limit).select(key, F.col(text).alias("_text"))
+    # sample rows at most, however many share an id
+    chosen = rows.where(F.col("h") <= limit).orderBy("h", F.crc32(F.coalesce("_text", F.lit("")))).limit(sample)
     known = dict(posterior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = [c for _, _, bounds, h, s, e, part in words(batch.column(1), SPACED) for c in pattern_code(votes_of(bounds, h, s, e, part)).tolist()]
             places, values = [], []
-            for v in _vectors(batch.column(1), code):
+            for v in _vectors(batch.column(1)):
                 at = np.flatnonzero(v)
                 places.append(at.astype(np.uint16).tobytes())
                 values.append(v[at].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([known.get(c, 0.5) for c in code], pa.float64()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["y", "places", "values"])
 
-    rows = chosen.mapInArrow(run, "y double, places binary, values binary").toArrow()  # bounded by sample, a few KB each
-    order = sorted(range(rows.num_rows), key=lambda k: (rows["y"][k].as_py(), rows["places"][k].as_py(), rows["values"][k].as_py()))[:sample]
-    y = rows["y"].to_numpy()[order]
+    with batches_of(documents.sparkSession, ARROW_ROWS):
+        found = chosen.mapInArrow(tidy(run), "y double, places binary, values binary").toArrow()  # sample rows, a few KB each
+    order = sorted(range(found.num_rows), key=lambda k: (found["y"][k].as_py(), found["places"][k].as_py(), found["values"][k].as_py()))
+    y = found["y"].to_numpy()[order]
     if len(y) < 50 or (y > 0.5).all() or (y < 0.5).all():
         return None
-    places = [np.frombuffer(rows["places"][k].as_buffer(), np.uint16) for k in order]
+    places = [np.frombuffer(found["places"][k].as_buffer(), np.uint16) for k in order]
     sizes = np.array([len(p) for p in places])
-    flat = np.concatenate([np.frombuffer(rows["values"][k].as_buffer(), np.float16) for k in order]).astype(np.float32)
+    flat = np.concatenate([np.frombuffer(found["values"][k].as_buffer(), np.float16) for k in order]).astype(np.float32)
     return _logistic(np.concatenate(places).astype(np.int32), flat, sizes, y)
 
 
-def _logistic(places: np.ndarray, values: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Adam on all rows, which are sparse; each class weighs alike."""
-    width = WIDTH + _VOTES.shape[1]
-    w, first, second = (np.zeros(width + 1) for _ in range(3))
+def _logistic(places: np.ndarray, values: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 1e-5, flat: float = 1e-2) -> np.ndarray:
+    """Adam on all rows, which are sparse; each class weighs alike. Ends when ten rounds gain less than ``flat`` of the loss."""
+    w, first, second = (np.zeros(WIDTH + 1) for _ in range(3))
     weight = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
     row = np.repeat(np.arange(len(y)), sizes)
+    losses: list[float] = []
     for t in range(1, rounds + 1):
-        z = np.bincount(row, values * w[places], minlength=len(y)) + w[-1]
-        slope = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(places, values * slope[row], minlength=width), slope.sum()) + decay * w
+        z = np.clip(np.bincount(row, values * w[places], minlength=len(y)) + w[-1], -30, 30)
+        losses.append(float(weight @ (np.log1p(np.exp(z)) - y * z)))
+        if t > 10 and losses[-11] - losses[-1] < flat * losses[-11]:
+            break
+        slope = weight * (1 / (1 + np.exp(-z)) - y)
+        g = np.append(np.bincount(places, values * slope[row], minlength=WIDTH), slope.sum()) + decay * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8) * (0.99**t)
     return w
@@ -221,7 +240,7 @@ def scorer(spark: SparkSession, posterior: dict[int, float], weights: np.ndarray
             code += pattern_code(votes_of(bounds, h, s, e, part)).tolist()
             empty += (np.diff(bounds) == 0).tolist()
         weak = np.array([known.get(c, 0.5) for c in code], float)
-        quality = weak.copy() if w is None else np.array([1 / (1 + np.exp(-np.clip(v @ w[:-1] + w[-1], -30, 30))) for v in _vectors(column, code)], float)
+        quality = weak.copy() if w is None else np.array([1 / (1 + np.exp(-np.clip(v @ w[:-1] + w[-1], -30, 30))) for v in _vectors(column)], float)
         quality[np.array(empty, bool)] = 0.0
         return pa.StructArray.from_arrays([pa.array(weak), pa.array(quality)], names=["weak_label", "quality"])
 
@@ -237,4 +256,6 @@ def learn(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Call
 def classify(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, weak_label, quality and accepted for every document."""
     judged = documents.select(key, learn(documents, key, text)(F.col(text)).alias("_s"))
+    with batches_of(documents.sparkSession, ARROW_ROWS):
+        judged = Scratch(documents.sparkSession, "quality").put("judged", judged)
     return judged.select(key, "_s.weak_label", "_s.quality", (F.col("_s.quality") >= threshold).alias("accepted"))
