@@ -52,21 +52,22 @@ select page_id, host, path, rule, case {verdict} else 'allow' end as verdict, pa
 
 
 CHAT_FORMAT = """
-with calls as (select conv_id, turn, text, conv_id || ':' || turn as call_id, case when turn > min(turn) over (partition by conv_id) then 1 else 0 end as level from conversations where role = 'user'),
+with recursive asked as (select conv_id, turn, text, length(text) as n, conv_id || ':' || turn as call_id from conversations where role = 'user'),
+deps as (select conv_id, turn, turn - 2 as dep from asked where n % 4 <> 0 union select conv_id, turn, turn - 4 from asked where n % 3 = 0),
+depths(conv_id, turn, level) as (select conv_id, turn, 0 from asked union select d.conv_id, d.turn, l.level + 1 from depths l join deps d on d.conv_id = l.conv_id and d.dep = l.turn),
+calls as (select a.*, max(level) as level from asked a join depths using (conv_id, turn) group by all),
 results as (select conv_id, turn as r_turn, text as content, conv_id || ':' || (turn - 1) as call_id from conversations where role = 'assistant'),
 whole as (
- select c.conv_id, c.turn, c.call_id, c.level, case when r.call_id is null then 'open' else 'linked' end as state, r.r_turn as result_turn, r.content, 'reply' as name, '{"chars":' || length(c.text) || ',"text":' || to_json(c.text) || '}' as arguments from calls c left join results r on r.conv_id = c.conv_id and r.call_id = c.call_id
+ select c.conv_id, c.turn, c.call_id, c.level, case when r.call_id is null then 'open' else 'linked' end as state, r.content, case n % 5 when 2 then 'count' when 3 then 'translate' else 'search' end as name,
+  case n % 5 when 0 then '{"limit":' || (n % 7) || ',"query":' || to_json(c.text) || '}' when 1 then '{"query":' || to_json(c.text) || '}' when 2 then '{"chars":"' || n || '"}' when 3 then '{"text":' || to_json(c.text) || '}' else 'null' end as arguments,
+  case n % 5 when 0 then '' when 1 then 'missing limit' when 2 then 'chars is no integer' when 3 then 'unknown tool' else 'malformed' end as problems
+ from calls c left join results r on r.conv_id = c.conv_id and r.call_id = c.call_id
  union all
- select r.conv_id, r.r_turn, r.call_id, 2147483647, 'orphan', r.r_turn, r.content, null, 'null' from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.call_id = r.call_id))
-select conv_id, row_number() over (partition by conv_id order by level, turn, call_id) - 1 as position, turn, call_id, level::int as level, state, '' as problems,
- '{"arguments":' || arguments || ',"call_id":' || to_json(call_id) || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"problems":[],"state":' || to_json(state) || ',"turn":' || turn || '}' as json from whole"""
-
-#: The same with the turns of all other roles.
-CHAT_FORMAT_ALL = CHAT_FORMAT[: CHAT_FORMAT.rindex(")\nselect conv_id")] + """
+ select r.conv_id, r.r_turn, r.call_id, 2147483647, 'orphan', r.content, null, 'null', '' from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.call_id = r.call_id)
  union all
- select conv_id, turn, null, -1, 'other', null, text, role, 'null' from conversations where role is null or role not in ('user', 'assistant'))
-select conv_id, row_number() over (partition by conv_id order by level, turn, call_id) - 1 as position, turn, call_id, level::int as level, state, '' as problems,
- '{"arguments":' || arguments || ',"call_id":' || coalesce(to_json(call_id)::varchar, 'null') || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"problems":[],"state":' || to_json(state) || ',"turn":' || turn || '}' as json from whole"""
+ select conv_id, turn, null, -1, 'other', text, role, 'null', '' from conversations where role is null or role not in ('user', 'assistant'))
+select conv_id, row_number() over (partition by conv_id order by level, turn, call_id) - 1 as position, turn, call_id, level::int as level, state, problems,
+ '{"arguments":' || arguments || ',"call_id":' || coalesce(to_json(call_id)::varchar, 'null') || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"name":' || coalesce(to_json(name)::varchar, 'null') || ',"problems":' || case problems when '' then '[]' else '["' || problems || '"]' end || ',"state":' || to_json(state) || ',"turn":' || turn || '}' as json from whole"""
 
 DECONTAMINATION = f"""
 with docs as (select doc_id, regexp_extract_all({_TEXT}, '{_ALNUM}') as w from documents),
@@ -105,6 +106,3 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": DECONTAMINATION,
     "op9_license_scan": _license_scan(),
 }
-
-#: SQL of queries.WHOLE.
-WHOLE_SQL: dict[str, str] = {"op6_chat_format_all": CHAT_FORMAT_ALL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, sharding, url_filter
-from .oracle import ORACLE_SQL, WHOLE_SQL  # noqa: F401
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,13 +41,8 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    calls, results = chat_format.from_conversations(_table(spark, folder, "conversations"))
-    return chat_format.link(calls, results, chat_format.REPLY).drop("result_turn")
-
-
-def op6_chat_format_all(spark: SparkSession, folder: str) -> DataFrame:
-    turns = _table(spark, folder, "conversations")
-    return chat_format.link(*chat_format.from_conversations(turns), chat_format.REPLY, chat_format.other_turns(turns)).drop("result_turn")
+    calls, results, others = chat_format.from_conversations(_table(spark, folder, "conversations"))
+    return chat_format.link(calls, results, chat_format.TOOLS, others).drop("result_turn")
 
 
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +62,3 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_embedding_dedup, op4_url_filter, op5_language_id, op6_chat_format, op7_sharding, op8_decontamination, op9_license_scan, op10_quality)}
-
-#: Queries over rows that an operator's first query, as its SQL, leaves out.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_chat_format_all,)}

@@ -1,20 +1,22 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Each pattern rule is a regular expression with the literal tokens that any match must hold. The rule is filed under
-the one of them that the fewest URLs hold, counted over the whole table. A URL's distinct tokens fetch candidate rules
-by an equi-join with that index, and only those candidates run their expression. Host and path rules need no
-expression: a URL's domain suffixes and path prefixes are looked up.
+Each pattern rule is a regular expression with the literal tokens that any match must hold: whole runs of [a-z0-9] in the
+lower-cased URL. Rules are a table of any size. Each is filed under the one of its tokens that the fewest of the URLs to be
+judged hold, counted over all of them; the distinct tokens of each distinct URL fetch candidate rules by an equi-join
+with that index, and only those candidates run their expression. Host and path rules, which are few, need no
+expression: they are compared with the host's end and the path's start.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path, match no host rule, and get the default
-verdict unless a pattern finds its token. Ties between pattern rules go to ``allow``, then to the first name. Repeated
-rows and extra columns are kept as they are; an empty table gives an empty result.
+verdict unless a pattern finds its token. Ties between pattern rules go to ``allow``, then to the first name. Rows with
+a null key, and repeated rows, are rows like others; extra columns are left out; URLs of any length are read whole; a
+rule without tokens is never fetched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,20 +50,24 @@ HOST_RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 
-PATTERN_RULES = (
-    PatternRule("casino", "block", r"[/.-]casino-win\.", ("casino", "win")),
-    PatternRule("bets", "block", r"[/.-]free-bets\.", ("free", "bets")),
-    PatternRule("pills", "block", r"[/.-]cheap-pills\.", ("cheap", "pills")),
-    PatternRule("spam", "block", r"[/.-]spam-farm\.", ("spam", "farm")),
-    PatternRule("adult", "block", r"[/.-]adult-x\.", ("adult", "x")),
-    PatternRule("ads", "block", r"[/.-]ads-track\.", ("ads", "track")),
-    PatternRule("pager", "allow", r"[?&]page=[0-9]+(&|#|$)", ("page",)),
-    PatternRule("logout", "block", r"[?&/]logout(&|#|/|$)", ("logout",)),
-    PatternRule("session", "block", r"[?&]session=[0-9a-f]{8,}(&|#|$)", ("session",)),
-)
+#: Words from which the pattern rules are made.
+_BAIT = ("adult", "ads", "bonus", "casino", "cheap", "crack", "download", "escort", "free", "hot", "instant", "loan", "lottery", "poker", "spam", "viagra")
+_HOOK = ("bets", "cash", "chat", "codes", "deals", "farm", "games", "keygen", "loans", "movies", "pills", "slots", "track", "win", "x")
+_PRIVATE = ("account", "admin", "basket", "cart", "checkout", "login", "logout", "password", "register", "signin", "signup", "unsubscribe")
+_SESSION = ("jsessionid", "phpsessid", "session", "sessionid", "sid", "token")
+_PAGED = ("p", "page", "pg", "start")
+
+
+def pattern_rules() -> tuple[PatternRule, ...]:
+    """The rules by default: hosts or paths of two such words are bait; private pages and sessions are blocked; numbered
+    pages are let through."""
+    rules = [PatternRule(f"bait-{a}-{b}", "block", rf"[/.-]{a}-{b}[./-]", (a, b)) for a in _BAIT for b in _HOOK]
+    rules += [PatternRule(f"private-{w}", "block", rf"/{w}([/?#.]|$)", (w,)) for w in _PRIVATE]
+    rules += [PatternRule(f"session-{w}", "block", rf"[?&;]{w}=[0-9a-f]{{8,}}([&#]|$)", (w,)) for w in _SESSION]
+    return (*rules, *(PatternRule(f"paged-{w}", "allow", rf"[?&]{w}=[0-9]+([&#]|$)", (w,)) for w in _PAGED))
 
-#: So many pattern rules at most stand in the plan as a map; more are joined by token.
-INLINE_RULES = 500
+
+PATTERN_RULES = pattern_rules()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -86,37 +92,36 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
-def rule_index(pages: DataFrame, rules: tuple[PatternRule, ...], url: str = "url") -> DataFrame:
-    """(token, rules): each rule filed under the token of its literals that the fewest URLs hold."""
-    spark = pages.sparkSession
-    literal = spark.createDataFrame([(r.name, r.action, r.regex, t) for r in rules for t in r.tokens], "name string, action string, regex string, token string")
-    wanted = F.array(*[F.lit(t) for t in sorted({t for r in rules for t in r.tokens})])
-    counts = pages.select(F.explode(F.array_intersect(url_tokens(F.col(url)), wanted)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    filed = literal.join(counts, "token", "left").groupBy("name", "action", "regex").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    return filed.groupBy("token").agg(F.collect_list(F.struct("name", "action", "regex")).alias("rules"))
+RULES = "name string, action string, regex string, tokens array<string>"
+
+
+def rule_table(spark: SparkSession, rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
+    """Pattern rules as a table, the form that ``judge`` takes; rules by the million come from files."""
+    return spark.createDataFrame([(r.name, r.action, r.regex, list(r.tokens)) for r in rules], RULES)
+
+
+def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(token, name, action, regex): each rule filed under the token of its literals that the fewest URLs hold."""
+    literal = rules.select("name", "action", "regex", F.explode(F.array_distinct("tokens")).alias("token"))
+    held = urls.select(F.explode(url_tokens(F.col("_url"))).alias("token"))
+    counts = held.join(literal.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    return literal.join(counts, "token", "left").groupBy("name", "action", "regex").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+
 
+def judge(pages: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patterns: DataFrame | None = None, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+    """One row per page: key, host, path, rule, verdict, pattern (the deciding pattern rule's name or null).
 
-def judge(pages: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patterns: tuple[PatternRule, ...] = PATTERN_RULES, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """One row per page: key, host, path, rule, verdict, pattern (the deciding pattern rule's name or null)."""
-    address = F.col(url)
-    host, path = host_and_path(address)
-    rows = pages.select(key, address.alias("_url"), host.alias("host"), path.alias("path"))
+    patterns: a table (name, action, regex, tokens); by default ``PATTERN_RULES``. Each distinct URL that no host rule
+    decides meets the index once.
+    """
+    rules = rule_table(pages.sparkSession) if patterns is None else patterns
+    host, path = host_and_path(F.col(url))
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", _host_rule(F.col("host"), F.col("path"), host_rules))
-    index = rule_index(pages, patterns, url)
-    rule = "struct<name:string,action:string,regex:string>"
-    if len(patterns) <= INLINE_RULES:
-        filed = {r.token: r.rules for r in index.collect()}  # at most one row for each rule
-        entries = [x for token, rules in sorted(filed.items()) for x in (F.lit(token), F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.regex).alias("regex")) for r in rules]))]
-        table = F.create_map(*entries) if entries else F.expr("map()").cast(f"map<string,array<{rule}>>")
-        known = F.array(*[F.lit(t) for t in sorted(filed)]).cast("array<string>")
-        fetched = F.flatten(F.transform(F.array_intersect(url_tokens(F.col("_url")), known), lambda t: F.element_at(table, t)))
-    else:
-        found = rows.select("_url").distinct().select("_url", F.explode(url_tokens(F.col("_url"))).alias("token")).join(index, "token")
-        rows = rows.join(found.groupBy("_url").agg(F.flatten(F.collect_list("rules")).alias("_fetched")), "_url", "left")
-        fetched = F.coalesce("_fetched", F.expr("array()").cast(f"array<{rule}>"))
-    low = F.lower("_url")
-    hits = F.filter(fetched, lambda r: F.regexp_like(low, r["regex"]))
-    first = F.array_min(F.transform(hits, lambda r: F.struct((r["action"] != "allow").alias("blocks"), r["name"].alias("name"))))
-    rows = rows.withColumn("_hit", F.when(F.col("_rule").isNull() & F.col("_url").isNotNull(), first))
+    open_urls = rows.where("_rule is null and _url is not null").select("_url").distinct()
+    fetched = open_urls.select("_url", F.explode(url_tokens(F.col("_url"))).alias("token")).join(rule_index(open_urls, rules), "token")
+    hits = fetched.where(F.regexp_like(F.lower("_url"), F.col("regex")))
+    first = hits.groupBy("_url").agg(F.min(F.struct((F.col("action") != "allow").alias("blocks"), "name")).alias("_hit"))
+    rows = rows.join(first, "_url", "left").withColumn("_hit", F.when(F.col("_rule").isNull(), F.col("_hit")))
     by_pattern = F.when(F.col("_hit").isNull(), F.lit(default)).when(F.col("_hit.blocks"), "block").otherwise("allow")
-    return rows.select(key, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.action"), by_pattern).alias("verdict"), F.col("_hit.name").alias("pattern"))
+    return rows.select(F.col("_key").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.action"), by_pattern).alias("verdict"), F.col("_hit.name").alias("pattern"))

@@ -94,12 +94,35 @@ def test_url_cases(spark):
     assert url_filter.judge(frame.where("false")).count() == 0
 
 
-def test_joined_index_agrees(spark, folder, monkeypatch):
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
-    key = lambda df: sorted(map(tuple, df.collect()))
-    inline = key(url_filter.judge(pages))
-    monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
-    assert key(url_filter.judge(pages)) == inline
+def test_thousands_of_rules(spark):
+    """Rules from a table against all expressions run on all URLs; odd rows and columns."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(120)]
+    rules = []
+    for k in range(3000):
+        a, b = rng.sample(vocabulary, 2)
+        shape = rng.choice((rf"[/.]{a}[/.-]", rf"[/.]{a}-{b}[./]", rf"[?&]{a}=[0-9]+(&|$)", rf"/{a}/.*/{b}(/|$)"))
+        rules.append((f"r{k:04d}", rng.choice(("allow", "block")), shape, [a, b] if b in shape else [a]))
+    rules.append(("none", "block", ".", []))
+    word = lambda: rng.choice(vocabulary[:40]) if rng.random() < 0.6 else rng.choice(vocabulary)
+    urls = [f"http://{word()}-{word()}.{rng.choice(('org', 'net'))}/{word()}/{word()}?{word()}={rng.randint(0, 99)}" for _ in range(300)]
+    urls += [None, "", "no scheme w1", "HTTP://W1.ORG/W2/", "http://w3.org/" + "w4/" * 20_000, urls[0], urls[0]]
+    frame = spark.createDataFrame([(None if k % 50 == 7 else k, u, "h", "r", 1) for k, u in enumerate(urls)], "page_id long, url string, host string, pattern string, token int")
+    got = url_filter.judge(frame, patterns=spark.createDataFrame(rules, url_filter.RULES)).collect()
+    assert len(got) == len(urls)
+    known = sorted(((action != "allow", name, re.compile(regex)) for name, action, regex, tokens in rules if tokens))
+    want = {}
+    for k, u in enumerate(urls):
+        hit = next(((name, blocks) for blocks, name, regex in known if regex.search((u or "").lower())), (None, False)) if u else (None, False)
+        want.setdefault(None if k % 50 == 7 else k, []).append((hit[0], "block" if hit[1] else "allow"))
+    have = {}
+    for r in got:
+        if r.rule is None:
+            have.setdefault(r.page_id, []).append((r.pattern, r.verdict))
+        else:
+            have.setdefault(r.page_id, []).append(None)
+    assert set(have) == set(want)
+    assert all(x is None or x in want[i] for i, xs in have.items() for x in xs) and sum(x is not None for xs in have.values() for x in xs) > 100
 
 
 def test_index_runs_what_all_expressions_say(spark, folder):
@@ -121,6 +144,42 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_is_that_of_plain_naive_bayes(spark):
+    """Against counting and summing n-gram by n-gram, without batches, pieces or offsets; extra columns clash."""
+    rng = random.Random(4)
+    words_of = {lang: [rng.choice("abcdefghij") * rng.randint(1, 2) + rng.choice(("tion", "ung", "ment", "ção")) for _ in range(30)] for lang in ("aa", "bb", "cc")}
+    rows = []
+    for k in range(240):
+        lang = rng.choice(("aa", "bb", "cc"))
+        mixed = [w for other in words_of.values() for w in other]
+        rows.append((k, " ".join(rng.choice(words_of[lang] if rng.random() < 0.4 else mixed) for _ in range(rng.choice((1, 4, 30, 400)))), None if k % 17 == 0 else lang))
+    rows += [(500, "A", "aa"), (501, "", "aa"), (502, None, "bb")]
+    frame = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+
+    def grams(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [int(g[p]) for n, g in zip(language_id.SIZES, language_id._grams(data)) for p in range(len(data) - n + 1)] if len(data) else []
+
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts, texts = {}, {}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and not out_of(i):
+            texts[lang] = texts.get(lang, 0) + 1
+            own = counts.setdefault(lang, np.zeros(language_id.WIDTH))
+            for g in grams(t):
+                own[g] += 1
+    names = sorted(counts)
+    logs = {n: np.log((counts[n] + 0.5) / (counts[n].sum() + 0.5 * language_id.WIDTH)).astype(np.float32).astype(float) for n in names}
+    got = {r.doc_id: r for r in language_id.identify(frame).collect()}
+    for i, t, _ in rows:
+        if not t:
+            assert got[i].lang_pred == "und"
+            continue
+        total = {n: np.log(texts[n] / sum(texts.values())) + sum(logs[n][g] for g in grams(t)) for n in names}
+        best = max(total.values())
+        assert total[got[i].lang_pred] >= best - 1e-6 * abs(best) and 0 <= got[i].score <= 1
+
+
 def test_language_odd_cases(spark):
     got = {}
     for r in language_id.identify(frames.docs(spark)).collect():
@@ -169,11 +228,50 @@ def test_chat_links_orders_and_validates(spark):
 
 
 def test_chat_plan_is_native(spark, folder):
-    calls, results = chat_format.from_conversations(spark.read.parquet(f"{folder}/conversations.parquet"))
-    plan = chat_format.link(calls, results, chat_format.REPLY)._jdf.queryExecution().executedPlan().toString()
+    plan = chat_format.link(*chat_format.from_conversations(spark.read.parquet(f"{folder}/conversations.parquet"))[:2], chat_format.TOOLS)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_chat_levels_of_any_graph(spark):
+    """Chains, joins, cycles and what hangs on them, against plain recursion."""
+    rng = random.Random(6)
+    deps = {}
+    for conv in range(12):
+        size = rng.choice((1, 5, 40))
+        for k in range(size):
+            some = [rng.randrange(size) for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))] if conv % 3 == 0 else [x for x in (k - 1, k - rng.randint(1, 5)) if x >= 0][: rng.choice((1, 1, 2))]
+            deps[conv, f"c{k}"] = [f"c{x}" for x in some] + (["nowhere"] if rng.random() < 0.2 else [])
+    def level(call, seen=()):
+        if call in seen:
+            return None
+        found = [level((call[0], d), (*seen, call)) for d in deps[call] if (call[0], d) in deps and d != call[1]]
+        return None if None in found else 1 + max(found, default=-1)
+
+    rows = [(conv, call, list(after)) for (conv, call), after in deps.items()]
+    calls = spark.createDataFrame(rows + rows[:3] + [(1, None, ["c0"]), (None, "c1", ["c0"])], "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls, chat_format.Scratch(spark, "levels")).collect()}
+    want = {c: level(c) for c in deps if c[0] % 3 or len([1 for d in deps if d[0] == c[0]]) < 40}
+    assert {c: got.get(c) for c in want} == want and len(got) == len(set(got)) and max(got.values()) > 10
+    assert not set(got) - set(deps)
+
+
+def test_chat_odd_messages(spark):
+    """Null turns and conversations link with nothing; repeated rows, long texts, other roles and columns stay."""
+    long = "x" * 100_000
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", long), (1, 2, "assistant", "yes"), (1, 3, None, "odd"), (1, 4, "tool", None), (2, 0, "assistant", "alone"), (7, None, "user", "when?"), (7, None, "assistant", "never"), (None, 0, "user", "who?"), (None, 1, "assistant", "me"), (3, 0, "user", None), (3, 0, "user", None), (3, 1, "assistant", "a"), (3, 1, "assistant", "b")]
+    frame = spark.createDataFrame([(*t, 5, "s") for t in turns], "conv_id long, turn long, role string, text string, position int, state string")
+    calls, results, others = chat_format.from_conversations(frame)
+    rows = chat_format.link(calls, results, chat_format.TOOLS, others).collect()
+    have = sorted(((r.conv_id, r.position, r.turn, r.state) for r in rows), key=str)
+    want = [(1, 0, 0, "other"), (1, 1, 3, "other"), (1, 2, 4, "other"), (1, 3, 1, "linked"), (2, 0, 0, "orphan"), (7, 0, None, "open"), (7, 1, None, "orphan"), (None, 0, 0, "open"), (None, 1, 1, "orphan"), (3, 0, 0, "linked"), (3, 1, 0, "linked"), (3, 2, 1, "extra")]
+    assert have == sorted(want, key=str)
+    by = {(r.conv_id, r.position): r for r in rows}
+    assert by[7, 0].call_id is None and '"content":null' in by[1, 2].json and '"name":"system"' in by[1, 0].json and by[3, 0].problems == "malformed"
+    assert len(by[1, 3].json) > 100_000 and json.loads(by[1, 3].json)["content"] == "yes"
+    empty = frame.where("false")
+    assert chat_format.link(*chat_format.from_conversations(empty)[:2], chat_format.TOOLS, chat_format.from_conversations(empty)[2]).count() == 0
+
+
 # --- sharding ------------------------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +290,23 @@ def test_differencing_beats_greedy():
     assert sharding.difference([], 3) == [(0, [])] * 3
 
 
+def test_blocks_lose_little_to_plain_differencing(spark, monkeypatch):
+    """One Karmarkar-Karp run over all groups against blocks of 50 groups and then of their partitions."""
+    monkeypatch.setattr(sharding, "BLOCK_GROUPS", 50)
+    rng = random.Random(12)
+    rows = [(k, "y" * int(rng.paretovariate(1.2) * 40) + str(k // rng.choice((1, 1, 3)))) for k in range(1500)]
+    groups = {}
+    for _, t in rows:
+        groups[t] = groups.get(t, 0) + len(t) + 1
+    plain = [s for s, _ in sharding.difference([(n, t) for t, n in groups.items()], 8)]
+    sums = [0] * 8
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect():
+        sums[r.shard] += r.size
+    even = max(sum(sums) / 8, max(groups.values()))
+    assert sum(sums) == sum(plain) and max(plain) <= 1.001 * even
+    assert max(sums) <= 1.005 * max(plain)
+
+
 def test_shards(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_GROUPS", 50)
     rng = random.Random(1)
@@ -325,6 +440,40 @@ def test_quality_against_labels(spark):
     assert np.mean([r.accepted for r in clean]) > 0.98 and np.mean([r.accepted for r in junk]) < 0.05
 
 
+def test_scorer_knows_no_votes(spark):
+    """The linear model sees features of the text only, and agrees with the weak labels of documents that it wasn't fitted
+    to; votes, patterns and features against plain loops."""
+    import pyarrow as pa
+
+    texts = ["One two two, three!!", "", "a", None, "é漢 字 x" * 300, "AB 12 #$ AB AB 12"]
+    vectors = list(quality._vectors(pa.array(texts, pa.string())))
+    for t, v in zip(texts, vectors):
+        data = np.frombuffer((t or "").encode(), np.uint8).astype(np.uint32)
+        assert len(v) == quality.WIDTH
+        grams, classes, recurs = np.split(v, [quality.GRAMS, quality.GRAMS + quality.CLASSES])
+        want = np.zeros(quality.GRAMS)
+        for p in range(len(data) - 2):
+            want[quality._grams(data[p : p + 3], 3, quality.GRAMS)[0]] += 1
+        assert np.allclose(grams**2 * max(want.sum(), 1), want)
+        seen, before, want = {}, None, np.zeros(quality.RECURRENCE)
+        for w in (t or "").lower().split():
+            want[min(int(np.log2(seen.get(w, 0) + 1)), 7) * 2 + (w == before)] += 1
+            seen[w], before = seen.get(w, 0) + 1, w
+        assert np.allclose(recurs**2 * max(want.sum(), 1), want)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in quality.classify(docs).collect() if r.weak_label is not None]
+    assert np.mean([r.accepted == (r.weak_label >= 0.5) for r in rows]) > 0.97
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"plain words of text number {k} stand here") for k in range(300)] + [(1, "##$$ %% !! " * 9) for _ in range(300)], "doc_id long, text string")
+    posterior, _, _ = quality.weak_labels(docs)
+    taken = []
+    monkeypatch.setattr(quality, "_logistic", lambda places, values, sizes, y: taken.append(len(y)))
+    quality.fit(docs, posterior, sample=100)
+    assert all(n <= 100 for n in taken)
+
+
 def test_quality_odd_cases(spark):
     got = {r.doc_id: r for r in quality.classify(frames.docs(spark)).collect()}
     assert not got[4].accepted and not got[5].accepted and got[4].quality == 0 and not got[6].accepted
