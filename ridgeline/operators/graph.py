@@ -19,6 +19,11 @@ def endpoints(ways: DataFrame) -> DataFrame:
     return ways.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 
 
+def used_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """nodes that are an end of some way."""
+    return nodes.join(endpoints(ways), "id", "left_semi")
+
+
 def node_table(ways: DataFrame) -> DataFrame:
     """(id, lon, lat) of end nodes. Where ways disagree the first one's start wins, then the first one's end."""
     ends = ways.select("id", F.explode(F.array(

@@ -36,6 +36,11 @@ def cut_after(edges: Column, index) -> Column:
     return cut_before(edges, (index if isinstance(index, Column) else F.lit(index)) + 1)
 
 
+def turned(edges: Column) -> Column:
+    """The edges from last to first."""
+    return F.reverse(edges)
+
+
 def random_cut(edges: Column, seed: Column) -> Column:
     """A front part of random length, by seed."""
     return cut_before(edges, F.pmod(F.xxhash64(seed), F.greatest(F.size(edges), F.lit(1))).cast("int"))
@@ -75,6 +80,36 @@ def crossing_places(rows: DataFrame, path: str = "path_id") -> DataFrame:
     return rows.select("did", path, "pos").join(shared, "did")
 
 
+def audit(found: DataFrame, shortest: DataFrame, asked: DataFrame, directed: DataFrame, banned: DataFrame | None = None) -> DataFrame:
+    """What routes promise, for each one found: edges joined from source to target, sums right, length within the bound,
+    elevation no worse than the shortest path's, no repeats that the policy forbids, no banned turn."""
+    from ridgeline.functions.geo import max_weight
+
+    rows = steps(found, "request_id").join(directed.select("did", "u", "v", F.col("length").alias("l"), F.col("elevation").alias("e")), "did")
+    by = Window.partitionBy("request_id").orderBy("pos")
+    rows = rows.withColumns({"next_u": F.lead("u").over(by), "next_did": F.lead("did").over(by)})
+    if banned is not None:
+        rows = rows.join(banned.select(F.col("from_did").alias("did"), F.col("to_did").alias("next_did"), F.lit(1).alias("bad")), ["did", "next_did"], "left")
+    else:
+        rows = rows.withColumn("bad", F.lit(None))
+    whole = rows.groupBy("request_id").agg(
+        F.bool_and(F.coalesce(F.col("next_u") == F.col("v"), F.lit(True))).alias("chained"), F.min_by("u", "pos").alias("first"), F.max_by("v", "pos").alias("last"), F.sum("l").alias("l"), F.sum("e").alias("e"),
+        F.count("*").alias("n"), F.count_distinct("did").alias("dids"), F.count_distinct(F.floor(F.col("did") / 2)).alias("roads"), F.count("bad").alias("bans"),
+    )
+    base = shortest.select("request_id", F.col("length").alias("shortest"), F.col("elevation").alias("base"))
+    r = found.where("found").join(base, "request_id").join(asked.select("request_id", "source", "target", "path_type", "ratio", "duplicates", "turns"), "request_id").join(whole, "request_id", "left")
+    none = F.size("edges") == 0
+    kept = F.when((F.col("duplicates") == 1) & ~F.col("turns"), F.col("dids") == F.col("n")).when((F.col("duplicates") == 2) & ~F.col("turns"), F.col("roads") == F.col("n")).otherwise(True)
+    return r.select(
+        "request_id", "shortest",
+        F.when(none, F.col("source") == F.col("target")).otherwise(F.col("chained") & (F.col("first") == F.col("source")) & (F.col("last") == F.col("target"))).alias("joined"),
+        ((F.col("length") == F.coalesce("l", F.lit(0))) & (F.col("elevation") == F.coalesce("e", F.lit(0)))).alias("sums_right"),
+        ((F.col("length") >= F.col("shortest")) & (F.col("length") <= max_weight("shortest", "ratio"))).alias("in_bound"),
+        F.when(F.col("path_type") == 2, F.col("elevation") >= F.col("base")).when(F.col("path_type") == 1, F.col("elevation") <= F.col("base")).otherwise(True).alias("no_worse"),
+        F.coalesce(kept, F.lit(True)).alias("policy_kept"), (F.coalesce("bans", F.lit(0)) == 0).alias("turns_legal"),
+    )
+
+
 def line(rows: DataFrame, geometry: DataFrame, path: str = "path_id") -> DataFrame:
     """(path_id, points): the edges' points in order, turned round where an edge is passed backwards, joints once."""
     shaped = rows.withColumn("id", F.floor(F.col("did") / 2)).join(geometry.select("id", "geom"), "id")

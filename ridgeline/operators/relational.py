@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a page.
@@ -33,6 +33,30 @@ def spread(points: DataFrame) -> DataFrame:
     return stats.withColumn("axis", F.when(F.col("lon_spread") > F.col("lat_spread"), "lon").otherwise("lat"))
 
 
+#: Bins in which a median is looked for before its own bin is sorted.
+BINS = 65_536
+
+
+def median_split(points: DataFrame, axis: str) -> DataFrame:
+    """points with half: 0 for the smaller half by (axis, id), 1 for the rest. Points are counted in bins along the axis;
+    only the bin of the median is sorted."""
+    low, high, n = points.agg(F.min(axis), F.max(axis), F.count("*")).first()
+    if not n:
+        return points.withColumn("half", F.lit(0))
+    width = (high - low) / BINS or 1.0
+    binned = points.withColumn("_bin", F.least(F.floor((F.col(axis) - low) / width), F.lit(BINS - 1)).cast("int"))
+    counts = binned.groupBy("_bin").agg(F.count("*").alias("k")).orderBy("_bin").collect()  # BINS rows at most
+    before, middle = 0, None
+    for r in counts:
+        if before + r.k > n // 2:
+            middle = r._bin
+            break
+        before += r.k
+    order = F.row_number().over(Window.partitionBy("_bin").orderBy(axis, "id"))
+    inner = binned.where(F.col("_bin") == middle).withColumn("half", (order > n // 2 - before).cast("int"))
+    return binned.where(F.col("_bin") != middle).withColumn("half", (F.col("_bin") > middle).cast("int")).unionByName(inner).drop("_bin")
+
+
 def radius(points: DataFrame, lon, lat) -> DataFrame:
     """Centimetres from a centre to the farthest point."""
     from ridgeline.functions.geo import distance_cm

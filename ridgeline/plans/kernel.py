@@ -227,7 +227,7 @@ class Graph:
                 if edges and self._joined(edges, start, end):
                     return self.path(edges, len(edges) == len(direct.edges))
         rng = np.random.default_rng(seed)
-        home, climb = self._home(end, turns, "length"), self._home(end, turns, "elevation")
+        trees = [self._trees(end, turns, True), self._trees(start, turns, False)]
         began = time.monotonic()
         pool: dict[tuple[int, ...], Path] = {tuple(shortest.edges): shortest}
         sign = -1 if maximise else 1
@@ -237,20 +237,19 @@ class Graph:
                 break
             parents = list(pool.values())
             for _ in range(offspring):
-                child = self._mutant(parents[int(rng.integers(len(parents)))].edges, start, end, bound, home, climb, maximise, policy, turns, rng)
+                back = int(rng.integers(2))
+                child = self._mutant(parents[int(rng.integers(len(parents)))].edges, start, end, bound, trees[back], bool(back), maximise, policy, turns, rng)
                 self._admit(pool, child, start, end, bound, policy, turns)
             for child in self._crossed(list(pool.values()), offspring, bound, turns, rng):
                 self._admit(pool, child, start, end, bound, policy, turns)
             pool = {tuple(p.edges): p for p in sorted(pool.values(), key=rank)[:kept]}
         return min(pool.values(), key=rank)
 
-    def _home(self, end: int, turns: bool, weight: str) -> tuple[dict[int, int], dict[int, int]]:
-        """How far each node (or edge, itself included) is from end."""
-        if turns:
-            dist, by, _ = self.from_edges(end, weight, reverse=True)
-        else:
-            dist, by = self.from_node(end, weight, reverse=True)
-        return dist, by
+    def _trees(self, root: int, turns: bool, reverse: bool) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
+        """How far each node (or edge, itself included) is from root, or to it; and the next edge on the shortest and on
+        the least climbing way there."""
+        found = [(self.from_edges if turns else self.from_node)(root, weight, reverse)[:2] for weight in ("length", "elevation")]
+        return found[0][0], found[0][1], found[1][1]
 
     def _joined(self, edges: list[int], start: int, end: int) -> bool:
         return bool(edges) and self.tail[edges[0]] == start and self.head[edges[-1]] == end and all(self.head[a] == self.tail[b] for a, b in zip(edges, edges[1:]))
@@ -265,41 +264,44 @@ class Graph:
         if child.length <= bound:
             pool.setdefault(tuple(edges), child)
 
-    def _mutant(self, edges, start, end, bound, home, climb, maximise, policy, turns, rng) -> list[int] | None:
-        """Keeps a random front part and walks on at random, always near enough to get home in the bound."""
-        length, dist = self.weights["length"], home[0]
-        keep = int(rng.integers(len(edges))) if len(edges) and policy is not Duplicates.IGNORE else 0
-        out = list(edges[:keep])
+    def _mutant(self, edges, start, end, bound, trees, back: bool, maximise, policy, turns, rng) -> list[int] | None:
+        """Keeps a random front part and walks on at random to the end, or keeps a random rear part and walks back to the
+        start; always near enough to arrive within the bound. Without a policy nothing is kept.
+
+        trees: of the place that the walk makes for (the end, or the start when it goes back).
+        """
+        length, (dist, short, climb) = self.weights["length"], trees
+        grow, far, at, goal = (self.into, self.tail, end, start) if back else (self.out, self.head, start, end)
+        whole = edges[::-1] if back else edges
+        out = list(whole[: int(rng.integers(len(whole)))]) if len(whole) and policy is not Duplicates.IGNORE else []
         used = sum(length[e] for e in out)
-        at = self.head[out[-1]] if out else start
-        seen = {int(self.did[e]) // 2 for e in out}
-        for step in range(4 * len(self.nodes) + 16):
-            if at == end and (step > 0 or not out) and out and rng.random() < 0.5:
+        at = far[out[-1]] if out else at
+        mark = (lambda e: int(self.did[e]) // 2) if policy is Duplicates.UNDIRECTED else (lambda e: e)
+        passable = (lambda x, e: self.turn_ok(e, x, turns)) if back else (lambda x, e: self.turn_ok(x, e, turns))
+        seen = {mark(e) for e in out}
+        for step in range(3 * len(edges) + 50):
+            if at == goal and out and rng.random() < 0.5:
                 break
-            options = [e for e in self.out[at] if self.turn_ok(out[-1] if out else None, e, turns) and used + (dist.get(e, INFINITE) if turns else length[e] + dist.get(self.head[e], INFINITE)) <= bound]
-            fresh = [e for e in options if int(self.did[e]) // 2 not in seen]
-            options = fresh or ([] if at == end and out else options)
+            last = out[-1] if out else None
+            options = [e for e in grow[at] if passable(last, e) and used + (dist.get(e, INFINITE) if turns else length[e] + dist.get(far[e], INFINITE)) <= bound]
+            fresh = options if policy is Duplicates.IGNORE else [e for e in options if mark(e) not in seen]
+            options = fresh or ([] if at == goal and out else options)
             if not options:
                 break
-            if not maximise and step > 0:
-                e = climb[1].get(out[-1] if turns else at)
-                if e is None or e not in options:
-                    e = options[int(rng.integers(len(options)))]
-            else:
+            e = climb.get(last if turns else at) if not maximise and step > 0 else None
+            if e is None or e not in options:
                 e = options[int(rng.integers(len(options)))]
             out.append(e)
-            seen.add(int(self.did[e]) // 2)
+            seen.add(mark(e))
             used += length[e]
-            at = self.head[e]
-            if step > 3 * len(edges) + 50:
-                break
-        while at != end:  # the shortest way home
-            e = home[1].get(out[-1] if turns and out else at)
+            at = far[e]
+        while at != goal:  # the shortest way there
+            e = None if turns and not out else short.get(out[-1] if turns else at)
             if e is None:
                 return None
             out.append(e)
-            at = self.head[e]
-        return out
+            at = far[e]
+        return out[::-1] if back else out
 
     def _crossed(self, parents: list[Path], most: int, bound: int, turns: bool, rng) -> list[list[int]]:
         """Front of one parent and rear of another, joined at an edge that both pass."""

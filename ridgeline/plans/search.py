@@ -7,6 +7,7 @@ DataFrame rounds over the frontier, all requests at once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,25 +25,30 @@ def fits(directed: DataFrame, most: int = KERNEL_EDGES) -> bool:
     return directed.limit(most + 1).count() <= most
 
 
+def fit_or_refuse(what: str, directed: DataFrame, banned: DataFrame | None) -> None:
+    """Both tables are counted before anything of them goes to the driver."""
+    if not fits(directed) or not (banned is None or fits(banned)):
+        raise ValueError(f"{what} needs a graph of at most {KERNEL_EDGES} directed edges and banned turns; cut out the region of the requests")
+
+
 def send(directed: DataFrame, banned: DataFrame | None = None):
-    """A broadcast of the graph's columns; call only after fits()."""
+    """A broadcast of the graph's columns under a name of their own; call only after fits() of both tables."""
     spark = directed.sparkSession
     rows = directed.select("did", "u", "v", F.col("length").cast("long"), F.col("elevation").cast("long")).toPandas()
     turns = banned.select("from_did", "to_did").toPandas().to_numpy() if banned is not None else []
-    return spark.sparkContext.broadcast(([rows[c].to_numpy() for c in ("did", "u", "v", "length", "elevation")], turns))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, [rows[c].to_numpy() for c in ("did", "u", "v", "length", "elevation")], turns))
 
 
-_GRAPHS: dict[int, Graph] = {}
+_GRAPHS: dict[str, Graph] = {}
 
 
 def received(shared) -> Graph:
     """The kernel's graph, built once for each worker and broadcast."""
-    key = id(shared.value)
-    if key not in _GRAPHS:
-        columns, turns = shared.value
+    name, columns, turns = shared.value
+    if name not in _GRAPHS:
         _GRAPHS.clear()
-        _GRAPHS[key] = Graph(*columns, banned=[tuple(map(int, t)) for t in turns])
-    return _GRAPHS[key]
+        _GRAPHS[name] = Graph(*columns, banned=[tuple(map(int, t)) for t in turns])
+    return _GRAPHS[name]
 
 
 def spread(requests: DataFrame) -> DataFrame:
@@ -140,24 +146,52 @@ def edge_distances_in_rounds(requests: DataFrame, directed: DataFrame, banned: D
 def reachable_nodes(requests: DataFrame, directed: DataFrame) -> DataFrame:
     """(request_id, node): nodes on some walk from source to target within ratio times the shortest length.
 
-    Two searches and a join of their distances: the detour through a node is known from both.
+    One kernel call for each request; on larger graphs two searches in rounds and a join of their distances: the detour
+    through a node is known from both.
     """
-    there = distances(requests, directed)
-    back = distances(requests.select("request_id", F.col("target").alias("source")), directed, reverse=True).withColumnRenamed("dist", "rest")
+    if fits(directed):
+
+        def one(graph: Graph, r) -> Iterator[tuple]:
+            source, target = graph.node(r.source), graph.node(r.target)
+            if source is not None and target is not None:
+                least = graph.from_node(source, target=target)[0].get(target)
+                if least is not None:
+                    for x in graph.reachable_nodes(source, target, bounded(least, r.ratio)):
+                        yield r.request_id, int(graph.nodes[x])
+
+        return _kernel(requests.select("request_id", "source", "target", "ratio"), send(directed), "request_id long, node long", one)
+    there = distances_in_rounds(requests, directed)
+    back = distances_in_rounds(requests.select("request_id", F.col("target").alias("source")), directed, reverse=True).withColumnRenamed("dist", "rest")
     both = there.join(back, ["request_id", "node"])
     return _within(both, requests, there.join(requests.select("request_id", F.col("target").alias("node")), ["request_id", "node"]).select("request_id", F.col("dist").alias("least")), F.col("dist") + F.col("rest")).select("request_id", "node")
 
 
 def reachable_edges(requests: DataFrame, directed: DataFrame, banned: DataFrame) -> DataFrame:
     """(request_id, did): the same for directed edges without banned turns."""
-    there = edge_distances(requests, directed, banned)
-    back = edge_distances(requests.select("request_id", F.col("target").alias("source")), directed, banned, reverse=True).withColumnRenamed("dist", "rest")
+    if fits(directed) and fits(banned):
+
+        def one(graph: Graph, r) -> Iterator[tuple]:
+            source, target = graph.node(r.source), graph.node(r.target)
+            if source is not None and target is not None:
+                dist, _, last = graph.from_edges(source, target=target)
+                if last is not None:
+                    for e in graph.reachable_edges(source, target, bounded(dist[last], r.ratio)):
+                        yield r.request_id, int(graph.did[e])
+
+        return _kernel(requests.select("request_id", "source", "target", "ratio"), send(directed, banned), "request_id long, did long", one)
+    there = edge_distances_in_rounds(requests, directed, banned)
+    back = edge_distances_in_rounds(requests.select("request_id", F.col("target").alias("source")), directed, banned, reverse=True).withColumnRenamed("dist", "rest")
     own = directed.select("did", F.col("length").alias("own"), "v")
     both = there.join(back, ["request_id", "did"]).join(own, "did")
     least = there.join(own, "did").join(requests.select("request_id", F.col("target").alias("v")), ["request_id", "v"]).groupBy("request_id").agg(F.min("dist").alias("least"))
     return _within(both, requests, least, F.col("dist") + F.col("rest") - F.col("own")).select("request_id", "did")
 
 
+def farthest(found: DataFrame) -> DataFrame:
+    """(request_id, dist): the largest distance of each request's map."""
+    return found.groupBy("request_id").agg(F.max("dist").alias("dist"))
+
+
 def _within(both: DataFrame, requests: DataFrame, least: DataFrame, detour) -> DataFrame:
     from ridgeline.functions.geo import max_weight
 
@@ -170,28 +204,28 @@ PATHS = "request_id long, found boolean, edges array<long>, length long, elevati
 SHORTEST, LEAST, MOST = 0, 1, 2
 
 
+def _route(graph: Graph, source: int, target: int, path_type: int, ratio: float, duplicates: int, turns: bool, seed: int, **options) -> tuple:
+    start, end = graph.node(source), graph.node(target)
+    path = graph.shortest(start, end, turns=bool(turns)) if start is not None and end is not None else None
+    if path is not None and path_type == SHORTEST:
+        path.optimal = True
+    elif path is not None and path.edges:
+        path = graph.evolve(start, end, path, bounded(path.length, ratio), path_type == MOST, Duplicates(duplicates), bool(turns), seed=seed, **options)
+    if path is None:
+        return False, [], None, None, None
+    return True, [int(graph.did[e]) for e in path.edges], path.length, path.elevation, path.optimal
+
+
 def routes(requests: DataFrame, directed: DataFrame, banned: DataFrame | None = None, offspring: int = 100, kept: int = 30, epochs: int = 10_000, least_epochs: int = 10, milliseconds: float | None = None) -> DataFrame:
     """A path for each request (request_id, source, target, path_type, ratio, duplicates, turns).
 
     path_type: 0 shortest, 1 least elevation, 2 most. Every random choice comes from the request's id and type.
     """
-    if not fits(directed):
-        raise ValueError(f"route search needs a graph of at most {KERNEL_EDGES} directed edges; cut out the region of the requests")
+    fit_or_refuse("route search", directed, banned)
 
     def one(graph: Graph, r) -> Iterator[tuple]:
-        start, end = graph.node(r.source), graph.node(r.target)
-        path = None
-        if start is not None and end is not None:
-            path = graph.shortest(start, end, turns=bool(r.turns))
-            if path is not None and r.path_type != SHORTEST and path.edges:
-                bound = bounded(path.length, r.ratio)
-                path = graph.evolve(start, end, path, bound, r.path_type == MOST, Duplicates(r.duplicates), bool(r.turns), offspring, kept, epochs, least_epochs, milliseconds, seed=int(r.request_id) * 3 + int(r.path_type))
-            elif path is not None and r.path_type == SHORTEST:
-                path.optimal = True
-        if path is None:
-            yield r.request_id, False, [], None, None, None
-        else:
-            yield r.request_id, True, [int(graph.did[e]) for e in path.edges], path.length, path.elevation, path.optimal
+        seed = int(r.request_id) * 3 + int(r.path_type)
+        yield r.request_id, *_route(graph, r.source, r.target, r.path_type, r.ratio, r.duplicates, r.turns, seed, offspring=offspring, kept=kept, epochs=epochs, least_epochs=least_epochs, milliseconds=milliseconds)
 
     needed = requests.select("request_id", "source", "target", "path_type", "ratio", "duplicates", "turns")
     return _kernel(needed, send(directed, banned), PATHS, one)
@@ -199,8 +233,7 @@ def routes(requests: DataFrame, directed: DataFrame, banned: DataFrame | None =
 
 def least_elevation(requests: DataFrame, directed: DataFrame, banned: DataFrame | None = None) -> DataFrame:
     """(request_id, length, elevation, ...): the path of least elevation among what ratio leaves; turn-aware with banned."""
-    if not fits(directed):
-        raise ValueError(f"least elevation needs a graph of at most {KERNEL_EDGES} directed edges; cut out the region of the requests")
+    fit_or_refuse("least elevation", directed, banned)
     turns = banned is not None
 
     def one(graph: Graph, r) -> Iterator[tuple]:
@@ -289,6 +322,8 @@ def component_in_rounds(directed: DataFrame, banned: DataFrame) -> DataFrame:
         own = _reach(store, f"r{turn}", roots, store.put(f"same{turn}", same))
         parts = own if parts is None else parts.unionByName(own)
         left = store.put(f"left{turn}", left.join(own, "did", "left_anti"))
+        store.drop(f"live{turn}")
+        store.drop(f"same{turn}")
     ends = parts.join(directed, "did").select("label", F.explode(F.array("u", "v")).alias("node"))
     best = ends.groupBy("label").agg(F.count_distinct("node").alias("n")).orderBy(F.desc("n"), "label").limit(1)
     return parts.join(best, "label", "left_semi").select("did")
@@ -302,6 +337,9 @@ def _spread(store: Store, name: str, labels: DataFrame, edges: DataFrame, tail:
         offered = edges.join(changed.withColumnRenamed("did", tail), tail).groupBy(F.col(head).alias("did")).agg(F.min("label").alias("new"))
         changed = store.put(f"{name}-changed{turn}", labels.join(offered, "did").where("new < label").select("did", F.col("new").alias("label")))
         labels = store.put(f"{name}-labels{turn}", labels.unionByName(changed).groupBy("did").agg(F.min("label").alias("label")))
+        if turn > 1:
+            store.drop(f"{name}-changed{turn - 1}")
+            store.drop(f"{name}-labels{turn - 1}")
     return labels
 
 
@@ -313,4 +351,24 @@ def _reach(store: Store, name: str, roots: DataFrame, edges: DataFrame) -> DataF
         back = edges.join(new.withColumnRenamed("did", "to_did"), "to_did").select(F.col("from_did").alias("did"), "label").distinct()
         new = store.put(f"{name}-new{turn}", back.join(found, ["did", "label"], "left_anti"))
         found = store.put(f"{name}-found{turn}", found.unionByName(new))
+        if turn > 1:
+            store.drop(f"{name}-new{turn - 1}")
+            store.drop(f"{name}-found{turn - 1}")
     return found
+
+
+ROUTE = "found boolean, edges array<long>, length long, elevation long, optimal boolean"
+
+
+def register(spark: SparkSession, name: str, directed: DataFrame, banned: DataFrame | None = None, epochs: int = 10) -> None:
+    """A table function for SQL: name(source, target, path_type, ratio, duplicates, turns) gives one route."""
+    from pyspark.sql.functions import udtf
+
+    fit_or_refuse("a route function", directed, banned)
+    shared = send(directed, banned)
+
+    class Route:
+        def eval(self, source: int, target: int, path_type: int, ratio: float, duplicates: int, turns: bool):
+            yield _route(received(shared), source, target, path_type, ratio, duplicates, turns, 0, epochs=epochs)
+
+    spark.udtf.register(name, udtf(Route, returnType=ROUTE))

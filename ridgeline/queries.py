@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, tags, wkt
-from ridgeline.operators import access, elevation, graph, itinerary, nearest, paths, profiles, relational, requests, restrictions
-from ridgeline.plans import search
+from ridgeline.operators import access, elevation, graph, itinerary, nearest, paths, profiles, relational, requests, restrictions, sampling
+from ridgeline.plans import build, search
+from ridgeline.plans.storage import Store
 from ridgeline.sources import files, grid, osm
 from ridgeline.streaming import limits
 
@@ -79,6 +81,10 @@ def _pairs(spark: SparkSession, folder: str, far: int = 1) -> DataFrame:
 
 _PAIR_SQL = "requests as (select k as request_id, (k * 37) % n as source, (k * 91 + 23) % n as target, 1.0 + 0.25 * (k % 3) as ratio from range(6) t(k), (select count(*) as n from part))"
 
+def _union(parts) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # --- scans, filters, projections -----------------------------------------------------------------------------------
 
 
@@ -94,7 +100,7 @@ _LEVELS = "values ('motorway', 1), ('motorway_link', 1), ('trunk', 2), ('trunk_l
 
 @query(f", levels(type, level) as ({_LEVELS}) select p.profile, count(*) as n, sum(w.id)::bigint as ids from ways w join levels l on l.type = w.type join (values ('motorway', 1), ('trunk', 2), ('primary', 3), ('secondary', 4), ('tertiary', 5), ('local', 6)) p(profile, level) on l.level <= p.level group by 1 union all select 'pedestrian', count(*), sum(id)::bigint from ways where type in ('footway', 'pedestrian', 'living_street', 'path', 'track')")
 def profile_filter(spark, folder):
-    """A6, B1-B4."""
+    """B1, B2, B4."""
     ways, found = _Road(spark, folder).ways, None
     for p in (profiles.Profile.MOTORWAY, profiles.Profile.TRUNK, profiles.Profile.PRIMARY, profiles.Profile.SECONDARY, profiles.Profile.TERTIARY, profiles.Profile.LOCAL, profiles.Profile.PEDESTRIAN):
         part = ways.where(profiles.keeps(p)).agg(F.lit(p.value).alias("profile"), F.count("*").alias("n"), F.sum("id").alias("ids"))
@@ -133,7 +139,7 @@ def node_upsert(spark, folder):
 
 @query("select u as id from edges union select v from edges")
 def endpoint_union(spark, folder):
-    """G1, C6."""
+    """G1."""
     return graph.endpoints(_Road(spark, folder).edges)
 
 
@@ -244,12 +250,12 @@ def turn_anti_join(spark, folder):
     return restrictions.allowed_turns(road.directed, road.banned)
 
 
-@query(", turned as (select d.v as node, a.id as from_id, b.id as to_id from banned t join directed d on d.did = t.from_did join directed a on a.did = t.from_did join directed b on b.did = t.to_did) select node as id, count(distinct from_id) as froms, count(distinct (from_id, to_id)) as bans from turned group by node")
+@query(", turned as (select d.v as node, a.id as from_id, b.id as to_id from banned t join directed d on d.did = t.from_did join directed a on a.did = t.from_did join directed b on b.did = t.to_did) select node as id, from_id, array_to_string(list_sort(list(distinct to_id)), ',') as bans from turned group by node, from_id")
 def node_restrictions(spark, folder):
-    """Counts of the JSON maps' entries."""
+    """What the JSON maps hold."""
     road = _Road(spark, folder)
-    parsed = restrictions.node_restrictions(road.directed, road.banned).select("id", F.from_json("json", "struct<restrictions: map<string, array<long>>>")["restrictions"].alias("m"))
-    return parsed.select("id", F.size("m").cast("long").alias("froms"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + F.size(x)).alias("bans"))
+    parsed = restrictions.node_restrictions(road.directed, road.banned).select("id", F.explode(F.from_json("json", "struct<restrictions: map<string, array<long>>>")["restrictions"]).alias("k", "to"))
+    return parsed.select("id", F.col("k").cast("long").alias("from_id"), F.array_join(F.col("to").cast("array<string>"), ",").alias("bans"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
@@ -329,7 +335,7 @@ def line_elevation_anchored(spark, folder):
 
 @query(f"with {_LINES} select id, coalesce(list_sum(list_transform(range(2, len(h) + 1), lambda k: abs(h[k] - h[k - 1]))), 0)::bigint as climb from lines", grid=False)
 def line_elevation_stepwise(spark, folder):
-    """E5, E6."""
+    """E5."""
     return _lines(spark, folder).select("id", elevation.climb(F.col("h"), "stepwise").alias("climb"))
 
 
@@ -359,17 +365,9 @@ def edge_dump(spark, folder):
     return paths.edge_lines(road.directed, road.nodes).select("id", *(F.round(c, 6).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")))
 
 
-@query("select a.did * 100000 + b.did as path_id, 5 as points, round(x.lon, 4) as lon1, round(x.lat, 4) as lat1, round(z.lon, 4) as lon2, round(z.lat, 4) as lat2 from directed a join directed b on a.v = b.u join nodes x on x.id = a.u join nodes z on z.id = b.v where a.did < 400")
-def path_line(spark, folder):
-    """Two edges each, joined at their common point."""
-    road = _Road(spark, folder)
-    turns = restrictions.allowed_turns(road.directed, road.banned.where("false")).where("from_did < 400")
-    return _two_edge_lines(turns, 100000, road.geometry)
-
-
 @query("select a.did * 4294967296 + b.did as path_id, 5 as points, round(x.lon, 4) as lon1, round(x.lat, 4) as lat1, round(z.lon, 4) as lon2, round(z.lat, 4) as lat2 from directed a join directed b on a.v = b.u join nodes x on x.id = a.u join nodes z on z.id = b.v")
-def path_line_all(spark, folder):
-    """C10, every turn; the path's id keeps two edges apart on graphs of any size here."""
+def path_line(spark, folder):
+    """Every two consecutive edges, joined at their common point; the path's id keeps two edges apart."""
     road = _Road(spark, folder)
     return _two_edge_lines(restrictions.allowed_turns(road.directed, road.banned.where("false")), 1 << 32, road.geometry)
 
@@ -391,7 +389,7 @@ def osm_restrictions(spark, folder):
 
 @query(_RELATIONS + ", by_way as (select via_id, count(*) as n, min(relation_id) as first from relations where via_type = 'w' group by 1) select e.id, coalesce(n, 0) as relations, coalesce(first, -1) as first from edges e left join by_way on via_id = e.id")
 def way_relations(spark, folder):
-    """A1, A3."""
+    """A3."""
     road = _Road(spark, folder)
     found = osm.with_relations(road.edges.select("id"), grid.turn_relations(road.directed))
     return found.select("id", F.coalesce(F.size("relation_ids"), F.lit(0)).cast("long").alias("relations"), F.coalesce(F.get("relation_ids", F.lit(0)), F.lit(-1)).alias("first"))
@@ -404,20 +402,10 @@ def elevation_lookup(spark, folder):
     return elevation.lookup(nodes.select("id", "lon", "lat"), nodes.select("lon", "lat", "elevation")).select("id", "elevation")
 
 
-@query("select o_orderkey as id, (case when o_orderkey % 2 = 0 then ['a', 'b'] else ['x', '', 'z'] end)[-1] as last, (case when o_orderkey % 2 = 0 then 2 else 3 end)::int as fields from orders where o_orderkey < 200", grid=False)
+@query("select o_orderkey as id, (case when o_orderkey % 2 = 0 then ['a', 'b'] else ['x', '', 'z'] end)[-1] as last, (case when o_orderkey % 2 = 0 then 2 else 3 end)::int as fields from orders", grid=False)
 def csv_split(spark, folder):
     """A14."""
-    return _split(_table(spark, folder, "orders").where("o_orderkey < 200"))
-
-
-@query("select o_orderkey as id, (case when o_orderkey % 2 = 0 then ['a', 'b'] else ['x', '', 'z'] end)[-1] as last, (case when o_orderkey % 2 = 0 then 2 else 3 end)::int as fields from orders", grid=False)
-def csv_split_all(spark, folder):
-    """A14, every order."""
-    return _split(_table(spark, folder, "orders"))
-
-
-def _split(orders: DataFrame) -> DataFrame:
-    rows = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a,b,").otherwise("x,,z").alias("line"))
+    rows = _table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a,b,").otherwise("x,,z").alias("line"))
     fields = files.split_line(F.col("line"))
     return rows.select("id", F.element_at(fields, -1).alias("last"), F.size(fields).alias("fields"))
 
@@ -460,25 +448,17 @@ def same_location(spark, folder):
 
 @query("select round(avg(lon), 6) as lon, round(avg(lat), 6) as lat, round(var_pop(lon) * count(*), 6) as lon_spread, round(var_pop(lat) * count(*), 6) as lat_spread, case when var_pop(lon) > var_pop(lat) then 'lon' else 'lat' end as axis from nodes")
 def point_spread(spark, folder):
-    """D10, F3."""
+    """D10."""
     s = relational.spread(_Road(spark, folder).nodes)
     return s.select(*(F.round(c, 6).alias(c) for c in ("lon", "lat", "lon_spread", "lat_spread")), "axis")
 
 
 # --- nearest and within --------------------------------------------------------------------------------------------
 
-_POINTS = ", points as (select c_custkey as point_id, -72 + (c_custkey * 7919 % 39000) / 1000000.0 as lon, 42 + (c_custkey * 104729 % 5000) / 1000000.0 as lat from customer where c_custkey % 10 = 0)"
-
-
-#: Every customer.
-_ALL_POINTS = _POINTS.replace(" where c_custkey % 10 = 0", "")
+_POINTS = ", points as (select c_custkey as point_id, -72 + (c_custkey * 7919 % 39000) / 1000000.0 as lon, 42 + (c_custkey * 104729 % 5000) / 1000000.0 as lat from customer)"
 
 
 def _points(spark: SparkSession, folder: str) -> DataFrame:
-    return _all_points(spark, folder).where("point_id % 10 = 0")
-
-
-def _all_points(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "customer").select(F.col("c_custkey").alias("point_id"))
     return rows.select("point_id", (F.lit(-72) + (F.col("point_id") * 7919 % 39000) / 1000000.0).alias("lon"), (F.lit(42) + (F.col("point_id") * 104729 % 5000) / 1000000.0).alias("lat"))
 
@@ -495,22 +475,20 @@ def within_radius(spark, folder):
     return nearest.within(_points(spark, folder), _Road(spark, folder).nodes, 123.0).select("point_id", "id")
 
 
-@query()
-def nearest_node_all(spark, folder):
-    """C12, I9, I10, every customer; tested against brute force."""
-    return nearest.nearest(_all_points(spark, folder), _Road(spark, folder).nodes).select("point_id", "id")
-
+@query(f", starts as (select id, lon, lat from nodes order by md5('7:' || id), id limit 20), near as (select a.id as start, b.id as end_id, {_ANGLE} as d from starts a cross join nodes b) select start, end_id as \"end\", round(d * 6371000)::bigint as metres from near where d * 6371000 < 500 and floor(d * 637100000) > 500 * 100 * 2 / 3.0 order by md5('7:' || start), md5('8:' || end_id), end_id limit 1")
+def random_near_pair(spark, folder):
+    """Seeded."""
+    pair = nearest.random_near_pair(_Road(spark, folder).nodes, 500.0, seed=7)
+    return pair.select("start", "end", F.round(F.col("distance_cm") / 100).cast("long").alias("metres"))
 
-@query()
-def within_radius_all(spark, folder):
-    """C13, I11, every customer; tested against brute force."""
-    return nearest.within(_all_points(spark, folder), _Road(spark, folder).nodes, 123.0).select("point_id", "id")
 
-
-@query()
-def random_near_pair(spark, folder):
-    """Seeded."""
-    return nearest.random_near_pair(_Road(spark, folder).nodes, 500.0, seed=7)
+@query("select 'node' as kind, 0::bigint as position, * from (select id from nodes order by md5('11:' || id), id limit 1) union all select 'order', 0, * from (select o_orderkey from orders order by md5('5:' || o_orderkey), o_orderkey limit 500) union all select 'shuffled', row_number() over (order by md5('3:' || id), id) - 1, id from nodes union all select 'of a customer', c, id from (select o_custkey as c, arg_min(o_orderkey, (md5('2:' || o_orderkey), o_orderkey)) as id from orders group by 1)")
+def seeded_choices(spark, folder):
+    """a node, some orders, all nodes in a random order, and one order of each customer."""
+    nodes = _Road(spark, folder).nodes.select("id")
+    orders = _table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("position"))
+    parts = [("node", nearest.random_node(nodes, 11).withColumn("position", F.lit(0).cast("long"))), ("order", sampling.choose(orders, 500, 5).withColumn("position", F.lit(0).cast("long"))), ("shuffled", sampling.shuffled(nodes, 3)), ("of a customer", sampling.pick(orders, 2, "position"))]
+    return _union(df.select(F.lit(kind).alias("kind"), F.col("position").cast("long").alias("position"), "id") for kind, df in parts)
 
 
 # --- path search -----------------------------------------------------------------------------------------------------
@@ -569,7 +547,7 @@ _BOUND = "floor(l.dist * q.ratio)"
 
 @query(f", {_PAIR_SQL}, {_tree('t', 'u', 'v', 'length')}, {_tree('b', 'v', 'u', 'length', 'target')} select t.request_id, t.node from t join b on b.request_id = t.request_id and b.node = t.node join requests q on q.request_id = t.request_id join t l on l.request_id = q.request_id and l.node = q.target where t.dist + b.dist <= {_BOUND}")
 def reachable_nodes(spark, folder):
-    """I5, C9, D8, G4."""
+    """I5, C9, G4."""
     return search.reachable_nodes(_pairs(spark, folder), _Road(spark, folder).directed)
 
 
@@ -631,7 +609,7 @@ def path_last_occurrence(spark, folder):
 
 @query(f"with {_LINES} select id, len(h[1:2])::int as two, (h[1:2])[1] as first, len(h[1:3])::int as three from lines", grid=False)
 def path_cuts(spark, folder):
-    """E2, F5."""
+    """E2."""
     rows = _lines(spark, folder)
     return rows.select("id", F.size(paths.cut_before(F.col("h"), 2)).alias("two"), F.element_at(paths.cut_before(F.col("h"), 2), 1).alias("first"), F.size(paths.cut_after(F.col("h"), 2)).alias("three"))
 
@@ -650,16 +628,9 @@ def best_path(spark, folder):
     return paths.best(totals)
 
 
-@query(f"with {_PATHS} select did, count(distinct path_id) as paths, count(*) as places from rows where path_id < 400 group by did having count(distinct path_id) >= 2", grid=False)
-def crossover_intersections(spark, folder):
-    """C11."""
-    shared = paths.crossings(_path_rows(spark, folder).where("path_id < 400"))
-    return shared.select("did", "paths", F.aggregate("where", F.lit(0).cast("long"), lambda s, w: s + F.size(w["positions"])).alias("places"))
-
-
 @query(f"with {_PATHS} select did, count(distinct path_id) as paths, count(*) as places from rows group by did having count(distinct path_id) >= 2", grid=False)
-def crossover_intersections_all(spark, folder):
-    """C11, every path, without a list for each edge."""
+def crossover_intersections(spark, folder):
+    """C11, without a list for each edge."""
     return paths.crossing_places(_path_rows(spark, folder)).groupBy("did").agg(F.first("paths").alias("paths"), F.count("*").alias("places"))
 
 
@@ -680,22 +651,23 @@ def leg_totals(spark, folder):
     return itinerary.totals(rows)
 
 
-@query(_POINTS + ", m as (select point_id % 20 as itinerary_id, row_number() over (partition by point_id % 20 order by point_id) - 1 as position, lon, lat from points where point_id < 1000) select itinerary_id, position::int as leg, round(lon, 6) as lon1, round(lat, 6) as lat1, round(lon2, 6) as lon2, round(lat2, 6) as lat2 from (select *, lead(lon) over w as lon2, lead(lat) over w as lat2 from m window w as (partition by itinerary_id order by position)) where lon2 is not null")
+@query(_POINTS + ", m as (select point_id % 20 as itinerary_id, row_number() over (partition by point_id % 20 order by point_id) - 1 as position, lon, lat from points) select itinerary_id, position::int as leg, round(lon, 6) as lon1, round(lat, 6) as lat1, round(lon2, 6) as lon2, round(lat2, 6) as lat2 from (select *, lead(lon) over w as lon2, lead(lat) over w as lat2 from m window w as (partition by itinerary_id order by position)) where lon2 is not null")
 def itinerary_legs(spark, folder):
     """I26."""
-    return _legs(_points(spark, folder).where("point_id < 1000"))
+    found = itinerary.legs(_markers(spark, folder))
+    return found.select("itinerary_id", "leg", *(F.round(c, 6).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")))
 
 
-@query(_ALL_POINTS + ", m as (select point_id % 20 as itinerary_id, row_number() over (partition by point_id % 20 order by point_id) - 1 as position, lon, lat from points) select itinerary_id, position::int as leg, round(lon, 6) as lon1, round(lat, 6) as lat1, round(lon2, 6) as lon2, round(lat2, 6) as lat2 from (select *, lead(lon) over w as lon2, lead(lat) over w as lat2 from m window w as (partition by itinerary_id order by position)) where lon2 is not null")
-def itinerary_legs_all(spark, folder):
-    """I26, every customer."""
-    return _legs(_all_points(spark, folder))
+def _markers(spark: SparkSession, folder: str) -> DataFrame:
+    return _points(spark, folder).selectExpr("point_id % 20 as itinerary_id", "row_number() over (partition by point_id % 20 order by point_id) - 1 as position", "lon", "lat")
 
 
-def _legs(points: DataFrame) -> DataFrame:
-    markers = points.selectExpr("point_id % 20 as itinerary_id", "row_number() over (partition by point_id % 20 order by point_id) - 1 as position", "lon", "lat")
-    found = itinerary.legs(markers)
-    return found.select("itinerary_id", "leg", *(F.round(c, 6).alias(c) for c in ("lon1", "lat1", "lon2", "lat2")))
+@query(_POINTS + ", m as (select point_id % 20 as itinerary_id, row_number() over (partition by point_id % 20 order by point_id) - 1 as position, lon, lat from points), e as (select 'move' as edit, itinerary_id, case when position = 0 then 2.5 else position end as p, lon, lat from m union all select 'extract', itinerary_id, position, lon, lat from m where position <> 3 union all select 'switch', itinerary_id, case position when 1 then 4 when 4 then 1 else position end, lon, lat from m) select edit, itinerary_id, (row_number() over (partition by edit, itinerary_id order by p) - 1)::int as position, round(lon, 6) as lon, round(lat, 6) as lat from e")
+def itinerary_edits(spark, folder):
+    """A marker moved, one taken out, two switched, in every itinerary."""
+    m = _markers(spark, folder)
+    edited = {"move": itinerary.move(m, 0, 2), "extract": itinerary.extract(m, 3), "switch": itinerary.switch(m, 1, 4)}
+    return _union(df.select(F.lit(name).alias("edit"), "itinerary_id", "position", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")) for name, df in edited.items())
 
 
 @query("select o_orderkey as request_id from orders where not exists (select 1 from orders r where r.o_orderkey % 3 = 0 and r.o_custkey = orders.o_custkey and r.o_orderkey % 2 = orders.o_orderkey % 2)", grid=False)
@@ -715,12 +687,14 @@ def distance_guard(spark, folder):
     return rows.select("id", itinerary.too_far(F.col("s"), F.col("t"), F.col("km")).alias("too_far"))
 
 
-@query(f", {_PAIR_SQL.replace('requests', 'q')}, rows as (select u // 40 as path_id, u % 40 as pos, length, -72 + (u % 40) * 0.001 as lon1, -72 + (v % 40) * 0.001 as lon2, 42 + (u // 40) * 0.001 as lat from edges where id % 2 = 0), s as (select *, sum(length) over (partition by path_id order by pos)::bigint as e from rows), k as (select *, unnest(range((e - length) // 250 + 1, e // 250 + 1)) as mark from s) select path_id, mark, round(lon1 + (lon2 - lon1) * ((mark * 250 - (e - length)) / length::double), 5) as lon, round(lat::double, 5) as lat from k")
+@query(f", rows as (select case when id % 2 = 0 then u // 40 else 1000000000 + u % 40 end as path_id, case when id % 2 = 0 then u % 40 else u // 40 end as pos, length, -72 + (u % 40) * 0.001 as lon1, -72 + (v % 40) * 0.001 as lon2, 42 + (u // 40) * 0.001 as lat1, 42 + (v // 40) * 0.001 as lat2 from edges), s as (select *, sum(length) over (partition by path_id order by pos)::bigint as e from rows), k as (select *, unnest(range((e - length) // 250 + 1, e // 250 + 1)) as mark from s) select path_id, mark, round(lon1 + (lon2 - lon1) * ((mark * 250 - (e - length)) / length::double), 5) as lon, round(lat1 + (lat2 - lat1) * ((mark * 250 - (e - length)) / length::double), 5) as lat from k")
 def markers_every_km(spark, folder):
-    """E7, H18."""
+    """Along the rows and the columns of the grid."""
     road = _Road(spark, folder)
-    rows = paths.edge_lines(road.directed.where("id % 2 = 0 and did % 2 = 0"), road.nodes).join(road.edges.select("id", "length", "u"), "id")
-    rows = rows.withColumns({"path_id": F.floor(F.col("u") / 40), "pos": F.col("u") % 40})
+    rows = paths.edge_lines(road.directed, road.nodes).join(road.edges.select("id", "length", "u"), "id")
+    across = F.col("id") % 2 == 0
+    row, column = F.floor(F.col("u") / 40), F.col("u") % 40
+    rows = rows.withColumns({"path_id": F.when(across, row).otherwise(column + 1_000_000_000), "pos": F.when(across, column).otherwise(row)})
     return itinerary.markers_every(rows, 250).select("path_id", "mark", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
@@ -740,30 +714,90 @@ def request_validation(spark, folder):
     return requests.validate(_batches(spark)).select("batch_id", "error")
 
 
-@query()
+_BATCH_SQL = f""", snapped as (select (select arg_min(b.id, ({_ANGLE}, b.id)) from (select -72.0 as lon, 42.0 as lat) a, nodes b) as source, (select arg_min(b.id, ({_ANGLE}, b.id)) from (select -71.995 as lon, 42.002 as lat) a, nodes b) as target),
+requests as (select batch as request_id, source, target, 1.5 as ratio from snapped, (values (0), (8)) t(batch)),
+{_tree('t', 'u', 'v', 'length')}, {_TURNS}, {_edge_tree('e')},
+least as (select q.request_id, case when q.request_id = 0 then (select dist from t where t.request_id = 0 and t.node = q.target) else (select min(e.dist) from e join directed d on d.did = e.did where e.request_id = 8 and d.v = q.target) end as dist from requests q),
+legs as (select request_id as batch_id, leg, source, target, dist / 100000.0 as km from least join requests using (request_id), range(3) l(leg))
+select batch_id, leg::int as leg, leg as node_id, 'LineString' as shape, round(km, 5) as shortest_km, true as in_bound, true as climbs_right, round(a.lon, 6) as lon1, round(a.lat, 6) as lat1, round(b.lon, 6) as lon2, round(b.lat, 6) as lat2 from legs join nodes a on a.id = source join nodes b on b.id = target"""
+
+
+@query(_BATCH_SQL)
 def route_batch(spark, folder):
-    """Whole answers as JSON."""
+    """Whole answers, read again from their JSON: ends, the shortest leg's length, that other legs
+    keep their bound and climb no more (type 1) or no less (type 2) than the shortest."""
+    road = _Road(spark, folder)
+    answers = requests.batch(_batches(spark), road.nodes, road.directed, road.geometry, road.banned, epochs=10)
+    item = "struct<nodeId: long, path: struct<GeoJSON: struct<type: string, coordinates: array<array<double>>>, elevation: int, length: double, optimal: boolean>>"
+    rows = answers.select("batch_id", F.posexplode(F.from_json("response", f"array<{item}>")).alias("leg", "a")).select("batch_id", "leg", F.col("a.nodeId").alias("node_id"), "a.path.*")
+    first = rows.where("leg = 0").select("batch_id", F.col("length").alias("km"), F.col("elevation").alias("base"))
+    better = F.when(F.col("leg") == 1, F.col("elevation") <= F.col("base")).when(F.col("leg") == 2, F.col("elevation") >= F.col("base")).otherwise(True)
+    end = lambda k, c: F.round(F.element_at(F.element_at("GeoJSON.coordinates", k), c), 6)
+    return rows.join(first, "batch_id").select(
+        "batch_id", "leg", "node_id", F.col("GeoJSON.type").alias("shape"), F.round("km", 5).alias("shortest_km"), ((F.col("length") >= F.col("km") - 1e-9) & (F.col("length") <= F.col("km") * 1.5 + 1e-9)).alias("in_bound"), better.alias("climbs_right"),
+        end(1, 2).alias("lon1"), end(1, 1).alias("lat1"), end(-1, 2).alias("lon2"), end(-1, 1).alias("lat2"),
+    )
+
+
+def _audited(spark: SparkSession, folder: str, path_type: int, duplicates: int, turns: bool = False) -> DataFrame:
     road = _Road(spark, folder)
-    return requests.batch(_batches(spark), road.nodes, road.directed, road.geometry, road.banned, epochs=10)
+    asked = requests.of_type(_pairs(spark, folder), path_type, 1.5, duplicates, turns)
+    banned = road.banned if turns else None
+    found = search.routes(asked, road.directed, banned, epochs=10, kept=25)
+    shortest = search.routes(asked.withColumn("path_type", F.lit(search.SHORTEST)), road.directed, banned)
+    return paths.audit(found, shortest, asked, road.directed, banned)
 
 
-@query()
+_PROMISES = "true as joined, true as sums_right, true as in_bound, true as no_worse, true as policy_kept, true as turns_legal"
+
+
+@query(f", {_PAIR_SQL}, {_tree('t', 'u', 'v', 'length')} select q.request_id, t.dist as shortest, {_PROMISES} from requests q join t on t.request_id = q.request_id and t.node = q.target")
 def ga_minimize(spark, folder):
-    """I12-I18."""
-    return search.routes(requests.of_type(_pairs(spark, folder), search.LEAST, 1.5, 1), _Road(spark, folder).directed, epochs=10, kept=25)
+    """What a route of least elevation promises."""
+    return _audited(spark, folder, search.LEAST, 1)
 
 
-@query()
+@query(SQL["ga_minimize"].removeprefix(GRID))
 def ga_maximize(spark, folder):
-    """I12-I18, I25."""
-    return search.routes(requests.of_type(_pairs(spark, folder), search.MOST, 1.5, 2), _Road(spark, folder).directed, epochs=10, kept=25)
+    """I12, I15-I18, I20, I25."""
+    return _audited(spark, folder, search.MOST, 2)
 
 
-@query()
+@query(f", {_PAIR_SQL}, {_TURNS}, {_edge_tree('t')} select q.request_id, min(t.dist) as shortest, {_PROMISES} from requests q join t on t.request_id = q.request_id join directed d on d.did = t.did and d.v = q.target group by 1")
 def ga_maximize_turns(spark, folder):
-    """I13, I19."""
+    """I13, I17, I19."""
+    return _audited(spark, folder, search.MOST, 1, True)
+
+
+@query(f", {_PAIR_SQL}, {_TURNS}, {_edge_tree('t')} select q.request_id, min(t.dist) as length from requests q join t on t.request_id = q.request_id join directed d on d.did = t.did and d.v = q.target group by 1")
+def shortest_path_turns(spark, folder):
+    """I4 on edges."""
+    road = _Road(spark, folder)
+    return search.routes(requests.of_type(_pairs(spark, folder), search.SHORTEST, turns=True), road.directed, road.banned).where("found").select("request_id", "length")
+
+
+@query(f""", {_PAIR_SQL}, {_TURNS}, {_edge_tree('t')}, {_edge_tree('b', True)}, least as (select t.request_id, min(t.dist) as dist from t join directed d on d.did = t.did join requests q on q.request_id = t.request_id and q.target = d.v group by 1),
+inside as (select t.request_id, t.did from t join b on b.request_id = t.request_id and b.did = t.did join directed d on d.did = t.did join requests q on q.request_id = t.request_id join least l on l.request_id = t.request_id where t.dist + b.dist - d.length <= {_BOUND}),
+e(request_id, did, dist) using key (request_id, did) as (select q.request_id, d.did, d.elevation::bigint from requests q join directed d on d.u = q.source join inside i on i.request_id = q.request_id and i.did = d.did
+ union select s.request_id, n.did, min(s.dist + n.elevation)::bigint from e s join turns t on t.from_did = s.did join directed n on n.did = t.to_did join inside i on i.request_id = s.request_id and i.did = n.did left join recurring.e r on r.request_id = s.request_id and r.did = n.did where r.dist is null or s.dist + n.elevation < r.dist group by 1, 2)
+select q.request_id, min(e.dist) as elevation from requests q join e on e.request_id = q.request_id join directed d on d.did = e.did and d.v = q.target group by 1""")
+def min_elevation_turns(spark, folder):
+    """I7 on edges."""
     road = _Road(spark, folder)
-    return search.routes(requests.of_type(_pairs(spark, folder), search.MOST, 1.5, 1, True), road.directed, road.banned, epochs=10, kept=25)
+    return search.least_elevation(_pairs(spark, folder), road.directed, road.banned).where("found").select("request_id", "elevation")
+
+
+@query(SQL["shortest_path"].removeprefix(GRID))
+def route_function(spark, folder):
+    """K3: routes from SQL, by a table function over the fixture's graph."""
+    search.register(spark, "ridgeline_route", _Road(spark, folder).directed)
+    return spark.sql("select q.request_id, r.length from {asked} q, lateral ridgeline_route(q.source, q.target, 0, 1.0D, 0, false) r where r.found", asked=_pairs(spark, folder))
+
+
+@query(f", {_PAIR_SQL}, {_tree('t', 'u', 'v', 'length')} select request_id, max(dist) as dist from t group by 1")
+def farthest_node(spark, folder):
+    """D8."""
+    return search.farthest(search.distances(_pairs(spark, folder), _Road(spark, folder).directed))
 
 
 _RECORDS = "records as (select user_id::varchar as ip, (epoch_us(ts) // 1000) as start_ms, max((epoch_us(ts) // 1000) + (1 + event_id % 400) * 1000) as end_ms from events where event_type <> 'none' group by 1, 2)"
@@ -776,26 +810,156 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_RECORDS} select a.ip, a.start_ms, coalesce(sum(greatest(0, least(b.end_ms, a.start_ms) - greatest(b.start_ms, a.start_ms - 86400000))), 0)::bigint as used_ms from records a join records b on b.ip = a.ip and b.start_ms <= a.start_ms and b.end_ms > a.start_ms - 86400000 group by 1, 2 union all select ip, start_ms, 0 from records where false", grid=False)
 def rate_window_usage(spark, folder):
-    """J2, J4."""
+    """J2."""
     return limits.recent_usage(_records(spark, folder), 86_400_000).select("ip", "start_ms", "used_ms")
 
 
-@query()
+@query(f"""with recursive {_RECORDS}, asked as (select *, start_ms % 8 as service, (start_ms % 6 + 1)::int as legs, row_number() over (partition by start_ms % 8 order by start_ms, ip) as k from records),
+replay(service, k, ip, start_ms, code, admitted) as (
+ select service, 0::bigint, ''::varchar, 0::bigint, 0, []::struct(ip varchar, s bigint, e bigint, n int)[] from (select distinct service from asked)
+ union all
+ select service, k, ip, start_ms, code, case when code >= 0 then list_append(admitted, {{'ip': ip, 's': start_ms, 'e': end_ms, 'n': legs}}) else admitted end from (
+  select r.*, p.admitted, case when r.legs > 4 then -3
+   when coalesce(list_sum(list_transform(list_filter(p.admitted, lambda x: x.ip = r.ip), lambda x: greatest(0, least(x.e, r.start_ms) - greatest(x.s, r.start_ms - 86400000)))), 0) > 200000 then -2
+   when 16 - coalesce(list_sum(list_transform(list_filter(p.admitted, lambda x: x.e > r.start_ms), lambda x: x.n)), 0) < 4 then -1 else len(p.admitted)::int end as code
+  from replay p join asked r on r.service = p.service and r.k = p.k + 1))
+select service, ip, start_ms, code::int as code from replay where k > 0""", grid=False)
 def admission_codes(spark, folder):
-    """One service's requests replayed in order."""
+    """Each service's requests replayed in order."""
     rows = _records(spark, folder).withColumns({"service": F.col("start_ms") % 8, "legs": (F.col("start_ms") % 6 + 1).cast("int")})
     return limits.admissions(rows, quotas=[(86_400_000, 200_000)])
 
 
-@query("select l_orderkey as id, printf('%.5f', l_extendedprice) as price from lineitem where l_orderkey < 500", grid=False)
-def fixed_decimals(spark, folder):
-    """A13."""
-    rows = _table(spark, folder, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"))
-    return rows.select("id", files.fixed("price", 5))
+@query(f"with {_RECORDS}, now as (select max(start_ms) as t from records), r as (select start_ms % 8 as service, start_ms, case when start_ms % 7 = 0 then start_ms + 600000 else end_ms end as e, start_ms % 4 + 1 as legs, t from records, now) select service, count(*) filter (where e > t - 86400000) as kept, count(*) filter (where e <= t - 86400000) as expired, coalesce(sum(legs) filter (where e > t), 0)::bigint as in_use, 16 - coalesce(sum(legs) filter (where e > t), 0)::bigint as free from r group by 1", grid=False)
+def permit_recount(spark, folder):
+    """The clean-up at the last request."""
+    rows = _records(spark, folder)
+    now = rows.agg(F.max("start_ms")).first()[0]
+    rows = rows.withColumns({"service": F.col("start_ms") % 8, "legs": F.col("start_ms") % 4 + 1, "end_ms": F.when(F.col("start_ms") % 7 != 0, F.col("end_ms"))})
+    return limits.sweep(rows, now, 86_400_000, 600_000)
+
+
+# --- ingest, profiles, sinks -------------------------------------------------------------------------------------------
+
+_ONEWAY = "case id % 6 when 0 then 'yes' when 1 then 'true' when 2 then '1' when 3 then '-1' when 4 then 'reverse' end"
+
+
+def _raw_ways(road: _Road) -> DataFrame:
+    """The fixture's ways as a map extract has them: everything in tags."""
+    own = F.map_filter(F.create_map(F.lit("highway"), F.when(F.col("type") != "steps", F.col("type")), F.lit("oneway"), F.expr(_ONEWAY)), lambda k, v: v.isNotNull())
+    shaped = road.ways.join(road.geometry.select("id", "geom"), "id")
+    return shaped.select("id", F.map_concat("tags", own).alias("tags"), F.array("u", "v").alias("nodes"), "geom")
+
+
+@query(f"select id, case when type = 'steps' then '' else type end as type, (case when id % 6 < 3 then 1 when id % 6 < 5 then -1 else 0 end)::smallint as oneway, u, v from ways")
+def way_ingest(spark, folder):
+    """A1, B9."""
+    return graph.with_endpoints(osm.ways(_raw_ways(_Road(spark, folder)))).select("id", "type", "oneway", "u", "v")
+
+
+@query("select e.id, e.u, e.v, e.length, e.elevation, e.oneway from edges e join ways w on w.id = e.id where w.type in ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'secondary_link')")
+def edge_scan(spark, folder):
+    """A6."""
+    road = _Road(spark, folder)
+    return profiles.scan_edges(road.edges.join(road.ways.select("id", "type"), "id"), profiles.Profile.SECONDARY)
+
+
+@query(f", flagged as (select id, type, c as cycling, {_HIKING} as hiking from ({_cycling_sql()})) select 'cycling' as profile, count(*) as n, sum(id)::bigint as ids from flagged where cycling = 'accept' union all select 'cycling_with_restrictions', count(*), sum(id)::bigint from flagged where cycling = 'accept' union all select 'hiking', count(*), sum(id)::bigint from flagged where hiking = 'accept' union all select 'all', count(*), sum(id)::bigint from flagged union all select 'pedestrian', count(*), sum(id)::bigint from flagged where type not in ('motorway', 'motorway_link')")
+def access_profiles(spark, folder):
+    """B1, B3, and B4 on the side of nodes."""
+    ways = _Road(spark, folder).ways
+    flagged = ways.withColumns({"cycling": access.cycling(F.col("type"), F.col("tags")), "hiking": access.hiking(F.col("type"), F.col("tags"))})
+    wanted = [profiles.Profile(n) for n in ("cycling", "cycling_with_restrictions", "hiking", "all", "pedestrian")]
+    return _union(flagged.where(profiles.keeps(p, p is profiles.Profile.PEDESTRIAN)).agg(F.lit(p.value).alias("profile"), F.count("*").alias("n"), F.sum("id").alias("ids")) for p in wanted)
+
+
+@query("select id, elevation from nodes where id % 3 = 1")
+def location_scan(spark, folder):
+    """B5."""
+    place = F.element_at(F.array(*(F.lit(x.value) for x in profiles.Location)), (F.col("id") % 3 + 1).cast("int"))
+    located = _Road(spark, folder).nodes.withColumns({"type": F.lit("path"), "location": place})
+    return profiles.scan_nodes(located, profiles.Profile.ALL, profiles.Location.ALASKA).select("id", "elevation")
+
+
+@query(", few as (select * from edges where length > 150) select id, elevation from nodes where id in (select u from few union select v from few)")
+def node_semi_join(spark, folder):
+    """C6."""
+    road = _Road(spark, folder)
+    return graph.used_nodes(road.nodes, road.edges.where("length > 150")).select("id", "elevation")
+
+
+@query("select id, elevation from edges")
+def between_ends(spark, folder):
+    """E6."""
+    road = _Road(spark, folder)
+    return elevation.between_ends(road.edges, road.nodes).select("id", "elevation")
+
+
+@query(f"with {_LINES} select id, h[-1] as first, h[1] as last, len(h)::int as n from lines", grid=False)
+def path_reverse(spark, folder):
+    """F5."""
+    turned = _lines(spark, folder).select("id", paths.turned(F.col("h")).alias("h"))
+    return turned.select("id", F.element_at("h", 1).alias("first"), F.element_at("h", -1).alias("last"), F.size("h").alias("n"))
+
+
+@query(", n as (select count(*) as n, var_pop(lon) > var_pop(lat) as by_lon from nodes) select id, (row_number() over (order by case when by_lon then lon else lat end, id) > n // 2)::int as half from nodes, n")
+def median_split(spark, folder):
+    """F3."""
+    nodes = _Road(spark, folder).nodes
+    return relational.median_split(nodes, relational.spread(nodes).first().axis).select("id", "half")
+
+
+@query(f"select e.id, round({_ANGLE} * 6371, 4) as km, round(e.length / 100000.0, 5) as stored_km, round({_ANGLE} * 6371000, 1) as line_m from edges e join nodes a on a.id = e.u join nodes b on b.id = e.v")
+def units(spark, folder):
+    """The length of a straight line with a point in the middle is that between its ends."""
+    road = _Road(spark, folder)
+    rows = paths.edge_lines(road.directed, road.nodes).join(road.edges.select("id", "length"), "id").join(road.geometry.select("id", "geom"), "id")
+    return rows.select("id", F.round(geo.distance_km("lon1", "lat1", "lon2", "lat2"), 4).alias("km"), F.round(geo.cm_to_km("length"), 5).alias("stored_km"), F.round(geo.line_length_m("geom"), 1).alias("line_m"))
+
+
+@query("select 'node' as kind, id, printf('%.7f', lon) as a, printf('%.7f', lat) as b, elevation from nodes union all select 'edge', id, printf('%.5f', length::double), oneway::varchar, elevation from edges union all select 'table', id, u::varchar, v::varchar, elevation from edges")
+def sinks(spark, folder):
+    """Written and read again."""
+    road, store = _Road(spark, folder), Store(spark, "sinks")
+    files.write_nodes_csv(road.nodes, f"{store.root}/nodes")
+    files.write_edges_csv(road.edges, f"{store.root}/edges")
+    files.write_table(road.edges, f"{store.root}/table", "u")
+    nodes = files.read_csv(spark, f"{store.root}/nodes", "id long, a string, b string, elevation int")
+    edges = files.read_csv(spark, f"{store.root}/edges", "id long, u long, v long, b string, a string, elevation int")
+    table = files.read_table(spark, f"{store.root}/table").select("id", F.col("u").cast("string").alias("a"), F.col("v").cast("string").alias("b"), "elevation")
+    return _union(df.select(F.lit(kind).alias("kind"), "id", "a", "b", "elevation") for kind, df in (("node", nodes), ("edge", edges), ("table", table)))
+
+
+@query("select id, 'Node' as type, round(lat, 6) as lat, round(lon, 6) as lon, 0 as elevation, 0.0 as length, true as optimal from nodes")
+def empty_route(spark, folder):
+    """From every node to itself."""
+    shown = _Road(spark, folder).nodes.select("id", paths.empty_geojson(F.col("lon"), F.col("lat")).alias("json"))
+    read = shown.select("id", F.from_json("json", "struct<GeoJSON: struct<type: string, coordinates: array<array<double>>>, elevation: int, length: double, optimal: boolean>").alias("r"))
+    return read.select("id", "r.GeoJSON.type", F.round(F.col("r.GeoJSON.coordinates")[0][0], 6).alias("lat"), F.round(F.col("r.GeoJSON.coordinates")[0][1], 6).alias("lon"), "r.elevation", "r.length", "r.optimal")
+
+
+def _built(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The whole way from raw ways and relations; heights of the nodes and of the lines' middles (id % 50)."""
+    road = _Road(spark, folder)
+    middles = road.geometry.select(F.col("geom")[1]["lon"].alias("lon"), F.col("geom")[1]["lat"].alias("lat"), (F.col("id") % 50).cast("int").alias("elevation"))
+    none = spark.createDataFrame([], "id long, tags map<string,string>, members array<struct<type:string,ref:long,role:string>>")
+    return build.derive(_raw_ways(road), none, road.nodes.select("lon", "lat", "elevation").unionByName(middles))
+
+
+_DERIVED = f", derived as (select w.id, w.u, w.v, w.type, (case when w.id % 6 < 3 then 1 when w.id % 6 < 5 then -1 else 0 end)::smallint as oneway, w.hiking, w.cycling, abs(w.id % 50 - a.elevation) + abs(b.elevation - a.elevation) as elevation from (select *, c as cycling, {_HIKING} as hiking from ({_cycling_sql().replace('from ways', 'from raw')})) w join nodes a on a.id = w.u join nodes b on b.id = w.v)"
+_RAW = ", raw as (select * replace (case when type = 'steps' then '' else type end as type) from ways)"
+
+
+@query(_RAW + _DERIVED + " select * from derived")
+def build_derive(spark, folder):
+    """K5, A1, A10, B6, B7, B9, E5, end to end."""
+    return _built(spark, folder)["edges"].select("id", "u", "v", "type", "oneway", "hiking", "cycling", "elevation")
 
 
-@query("select l_orderkey as id, printf('%.5f', l_extendedprice) as price from lineitem", grid=False)
-def fixed_decimals_all(spark, folder):
-    """A13, every line item."""
-    rows = _table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"))
-    return rows.select("id", files.fixed("price", 5))
+@query(_RAW + _DERIVED + """, walked as (select id, u, v, elevation from derived where hiking = 'accept'), both_ways as (select u as a, v as b from walked union all select v, u from walked),
+comps(id, c) using key (id) as (select a, a from both_ways union select e.b, min(s.c) from comps s join both_ways e on e.a = s.id join recurring.comps r on r.id = e.b where s.c < r.c group by 1),
+largest as (select c from comps group by c order by count(*) desc, c limit 1)
+select 2 * w.id + d as did, w.id, case when d = 0 then u else v end as u, case when d = 0 then v else u end as v, elevation from walked w join comps on comps.id = w.u join largest using (c), range(2) r(d)""")
+def build_load(spark, folder):
+    """The graph of walkers, from raw ways to its largest component."""
+    return build.load(_built(spark, folder), profiles.Profile.HIKING)["directed"].select("did", "id", "u", "v", "elevation")

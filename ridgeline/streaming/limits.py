@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,31 +40,67 @@ def recent_usage(records: DataFrame, window_ms: int, key: str = "ip") -> DataFra
     return rows.join(found, "_row").drop("_row")
 
 
+class _Usage:
+    """What one caller has used up to a moment, for moments that only grow: the sum over starts s <= t of (t - s), less the
+    same of ends. Each start and end is passed once."""
+
+    def __init__(self):
+        self.starts, self.ends, self.at, self.n, self.total = [], [], 0, 0, 0
+
+    def add(self, start: int, end: int) -> None:
+        self.starts.append(start)  # callers come in order
+        heapq.heappush(self.ends, end)
+
+    def until(self, t: int) -> int:
+        while self.at < len(self.starts) and self.starts[self.at] <= t:
+            self.n, self.total, self.at = self.n + 1, self.total + self.starts[self.at], self.at + 1
+        while self.ends and self.ends[0] <= t:
+            self.n, self.total = self.n - 1, self.total - heapq.heappop(self.ends)
+        if self.at > 1024:
+            del self.starts[: self.at]
+            self.at = 0
+        return self.n * t - self.total
+
+
 def admit(requests: pd.DataFrame, quotas: list[tuple[int, int]] = (), permits: int = PERMITS, most: int = MOST_PERMITS) -> pd.DataFrame:
     """Replays one service's requests (ip, start_ms, end_ms, legs) in order: id, or -3, -2, -1.
 
-    Permits are one pool for all callers, so a replay is sequential by nature; partition by service.
+    Permits are one pool for all callers, so a replay is sequential by nature; partition by service. Each request costs
+    about the logarithm of what runs, whatever its ip has asked before.
     """
-    out, running, history, number = [], [], {}, 0
+    out, running, busy, used, number = [], [], 0, {}, 0
     for r in requests.sort_values(["start_ms", "ip"], kind="stable").itertuples(index=False):
-        running = [(e, n) for e, n in running if e > r.start_ms]
-        free = permits - sum(n for _, n in running)
-        own = history.setdefault(r.ip, [])
-        used = lambda w: sum(max(0, min(e, r.start_ms) - max(s, r.start_ms - w)) for s, e in own)  # noqa: E731, B023
+        while running and running[0][0] <= r.start_ms:
+            busy -= heapq.heappop(running)[1]
+        own = used.setdefault(r.ip, (_Usage(), [_Usage() for _ in quotas]))
+        now = own[0].until(r.start_ms)
+        spent = [now - u.until(r.start_ms - w) for u, (w, _) in zip(own[1], quotas)]
         if r.legs > most:
             code = TOO_MANY
-        elif any(used(w) > allowed for w, allowed in quotas):
+        elif any(s > allowed for s, (_, allowed) in zip(spent, quotas)):
             code = OVER_QUOTA
-        elif free < most:
+        elif permits - busy < most:
             code = BUSY
         else:
             code, number = number, number + 1
-            running.append((r.end_ms, r.legs))
-            own.append((r.start_ms, r.end_ms))
+            heapq.heappush(running, (r.end_ms, r.legs))
+            busy += r.legs
+            for u in (own[0], *own[1]):
+                u.add(r.start_ms, r.end_ms)
         out.append((r.ip, r.start_ms, code))
     return pd.DataFrame(out, columns=["ip", "start_ms", "code"])
 
 
+def sweep(records: DataFrame, now_ms: int, window_ms: int, default_ms: int, service: str = "service", permits: int = PERMITS) -> DataFrame:
+    """(service, kept, expired, in_use, free) after a clean-up: records that ended before the window go, records without an
+    end count as ended default_ms after their start, and permits are counted anew from what still runs."""
+    ends = F.coalesce(F.col("end_ms"), F.col("start_ms") + default_ms)
+    begun = records.where(F.col("start_ms") <= now_ms)
+    stays, runs = ends > now_ms - window_ms, ends > now_ms
+    whole = begun.groupBy(service).agg(F.count_if(stays).alias("kept"), F.count_if(~stays).alias("expired"), F.coalesce(F.sum(F.when(runs, F.col("legs"))), F.lit(0)).cast("long").alias("in_use"))
+    return whole.withColumn("free", F.lit(permits) - F.col("in_use"))
+
+
 def admissions(requests: DataFrame, service: str = "service", **options) -> DataFrame:
     """Each service's requests with their codes."""
     kind = dict(requests.dtypes)[service]
@@ -77,10 +114,12 @@ def admissions(requests: DataFrame, service: str = "service", **options) -> Data
 USAGE = "ip string, start_ms long, used_ms long"
 
 
-def usage_stream(stream: DataFrame, window_ms: int, idle: str = "5 minutes") -> DataFrame:
-    """A stream of finished records (ip, start_ms, end_ms, at TIMESTAMP) with what their ip used in the window before.
+def usage_stream(stream: DataFrame, window_ms: int, idle: str = "5 minutes", late_ms: int = 0) -> DataFrame:
+    """A stream of finished records (ip, start_ms, end_ms) with what their ip used in the window before.
 
-    State is the ip's records of the last window; a key without news for so long is dropped by timeout.
+    State is the ip's records of the last window and late_ms: a record that starts at most late_ms before the newest one
+    of its ip, in whatever batch it comes, still counts all that began before it (answers given already aren't taken
+    back). A key without news for so long is dropped by timeout.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -94,9 +133,10 @@ def usage_stream(stream: DataFrame, window_ms: int, idle: str = "5 minutes") ->
         rows = []
         for r in pd.concat(list(batches)).sort_values("start_ms", kind="stable").itertuples(index=False):
             low = r.start_ms - window_ms
-            kept = [(s, e) for s, e in kept if e > low]
-            rows.append((key[0], r.start_ms, sum(max(0, min(e, r.start_ms) - max(s, low)) for s, e in kept)))
+            rows.append((key[0], r.start_ms, sum(max(0, min(e, r.start_ms) - max(s, low)) for s, e in kept if s <= r.start_ms)))
             kept.append((r.start_ms, r.end_ms))
+        newest = max(s for s, _ in kept)
+        kept = [(s, e) for s, e in kept if e > newest - window_ms - late_ms]
         state.update(([s for s, _ in kept], [e for _, e in kept]))
         state.setTimeoutDuration(int(span))
         yield pd.DataFrame(rows, columns=["ip", "start_ms", "used_ms"])

@@ -85,6 +85,23 @@ def test_evolution_keeps_its_promises(seed, maximise, policy, turns):
     assert again.edges == path.edges
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.booleans(), st.booleans(), st.sampled_from(list(Duplicates)), st.booleans())
+def test_mutants_of_both_halves(seed, back, maximise, policy, turns):
+    """A front or a rear of the parent stays; the rest is walked within the bound, without banned turns."""
+    graph = random_graph(seed)
+    start, end = 0, len(graph.nodes) - 1
+    base = graph.shortest(start, end, turns=turns)
+    if base is None or not base.edges:
+        return
+    bound, rng = int(base.length * 1.6), np.random.default_rng(seed)
+    trees = graph._trees(start, turns, False) if back else graph._trees(end, turns, True)
+    for _ in range(20):
+        child = graph._mutant(base.edges, start, end, bound, trees, back, maximise, policy, turns, rng)
+        assert graph._joined(child, start, end) and sum(graph.weights["length"][e] for e in child) <= bound
+        assert not turns or not any(p in graph.banned for p in zip(child, child[1:]))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10_000))
 def test_component_is_strong_and_largest(seed):
@@ -121,3 +138,20 @@ def test_reachable_sets():
 def test_directed_repeats(edges, expected):
     graph = Graph([0, 2, 4, 6], [0, 0, 0, 0], [0, 0, 0, 0], [1] * 4, [1] * 4)
     assert graph.without_directed_repeats(edges) == expected
+
+
+def test_mutants_keep_a_front_or_a_rear():
+    """A ladder: what stays of the parent is where it should be, and both halves differ from the parent somewhere."""
+    rungs = 12
+    edges = [(k, k, k + 1) for k in range(rungs)] + [(20 + k, 100 + k, 101 + k) for k in range(rungs)] + [(50 + k, k, 100 + k) for k in range(rungs + 1)]
+    did, u, v = (np.array(x) for x in zip(*((2 * i + d, (a, b)[d], (b, a)[d]) for i, a, b in edges for d in (0, 1))))
+    graph = Graph(did, u, v, np.full(len(did), 10), did % 7)
+    start, end = graph.node(0), graph.node(rungs)
+    base = graph.shortest(start, end)
+    for back, root, reverse in ((False, end, True), (True, start, False)):
+        trees, rng, kept = graph._trees(root, False, reverse), np.random.default_rng(1), set()
+        for _ in range(60):
+            child = graph._mutant(base.edges, start, end, base.length * 2, trees, back, True, Duplicates.DIRECTED, False, rng)
+            pairs = list(zip(child[::-1], base.edges[::-1])) if back else list(zip(child, base.edges))
+            kept.add(next((k for k, (a, b) in enumerate(pairs) if a != b), len(pairs)))
+        assert max(kept) >= 5 and min(kept) < 3

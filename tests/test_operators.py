@@ -170,31 +170,132 @@ def test_crossing_places_hold_what_the_lists_hold(spark):
     assert len(placed) == len(set(placed)) and set(placed) == listed and not any(d == 1000 for d, *_ in placed)
 
 
-def test_whole_queries_leave_no_rows_out(spark, folder):
-    from ridgeline import queries
+def test_nearest_far_from_every_node(spark, monkeypatch):
+    """Points degrees away from all nodes, in blocks, against brute force; poles, ties and the date line."""
+    import numpy as np
 
-    orders, lines, customers = ({r[0] for r in spark.read.parquet(f"{folder}/{t}.parquet").select(c).collect()} for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("customer", "c_custkey")))
-    run = lambda name: queries.QUERIES[name](spark, folder)
-    assert {r.id for r in run("csv_split_all").collect()} == orders
-    assert {r.id for r in run("fixed_decimals_all").collect()} == lines
-    assert run("itinerary_legs_all").count() == len(customers) - len({c % 20 for c in customers})
+    monkeypatch.setattr(nearest, "LEFT", 20)
+    rng = np.random.default_rng(4)
+    n = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(rng.uniform(-180, 180, 30), np.degrees(np.arcsin(rng.uniform(-1, 1, 30)))))] + [(40, 0.0, 90.0), (41, 10.0, 10.0), (42, 10.0, 10.0)]
+    p = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(rng.uniform(-180, 180, 90), np.degrees(np.arcsin(rng.uniform(-1, 1, 90)))))] + [(200, 10.0, 10.0), (201, 77.0, -90.0)]
+    got = {r.point_id: r.id for r in nearest.nearest(spark.createDataFrame(p, "point_id long, lon double, lat double"), spark.createDataFrame(n, "id long, lon double, lat double")).collect()}
+    to = lambda a: np.stack([np.cos(np.radians(a[:, 2])) * np.cos(np.radians(a[:, 1])), np.cos(np.radians(a[:, 2])) * np.sin(np.radians(a[:, 1])), np.sin(np.radians(a[:, 2]))], 1)
+    dots = to(np.array(p)) @ to(np.array(n)).T
+    assert set(got) == {k for k, _, _ in p} and got[200] == 41
+    place = {i: k for k, (i, _, _) in enumerate(n)}
+    assert all(dots[row, place[got[k]]] >= dots[row].max() - 1e-12 for row, (k, _, _) in enumerate(p))
 
 
-def test_nearest_and_within_of_every_customer(spark, folder):
+def test_reachable_sets_of_graphs_beyond_the_kernel(spark, folder, monkeypatch):
+    directed = graph.directed_edges(grid.edges(grid.nodes(spark, folder).where("id % 40 < 5 and id < 100")))
+    banned = grid.banned(directed)
+    ask = spark.createDataFrame([(1, 0, 43, 1.3), (2, 44, 1, 1.0), (3, 2, 2, 2.0), (4, 0, 9999, 1.5)], "request_id long, source long, target long, ratio double")
+    shown = lambda: (sorted(map(tuple, search.reachable_nodes(ask, directed).collect())), sorted(map(tuple, search.reachable_edges(ask, directed, banned).collect())))
+    kernel = shown()
+    monkeypatch.setattr(search, "fits", lambda graph, most=0: False)
+    assert shown() == kernel and kernel[0] and kernel[1]
+    with pytest.raises(ValueError):
+        search.routes(requests.of_type(ask, search.MOST), directed, banned)
+
+
+def test_one_worker_tells_graphs_apart(spark):
+    made = lambda w: spark.createDataFrame([(2, 1, 2, w, 0), (4, 2, 3, w, 0)], "did long, u long, v long, length long, elevation long")
+    ask = spark.createDataFrame([(1, 1, 3)], "request_id long, source long, target long").coalesce(1)
+    assert [search.a_star(ask, made(w)).first().length for w in (1, 5, 1, 7)] == [2, 10, 2, 14]
+
+
+def test_audit_sees_faults(spark):
+    directed = spark.createDataFrame([(2, 1, 2, 5, 1), (4, 2, 3, 5, 1), (5, 3, 2, 5, 1), (8, 7, 8, 1, 1)], "did long, u long, v long, length long, elevation long")
+    banned = spark.createDataFrame([(2, 4)], "from_did long, to_did long")
+    asked = spark.createDataFrame([(k, 1, 3, 2, 1.5, 1, False) for k in range(5)], "request_id long, source long, target long, path_type int, ratio double, duplicates int, turns boolean")
+    base = spark.createDataFrame([(k, True, [2, 4], 10, 2, True) for k in range(5)], search.PATHS)
+    found = spark.createDataFrame([(0, True, [2, 4], 10, 2, False), (1, True, [2, 8], 6, 2, False), (2, True, [2, 4, 5, 4], 20, 4, False), (3, True, [2, 4], 11, 1, False), (4, True, [], 0, 0, False)], search.PATHS)
+    got = {r.request_id: r for r in paths.audit(found, base, asked, directed).collect()}
+    assert all(got[0][c] for c in ("joined", "sums_right", "in_bound", "no_worse", "policy_kept", "turns_legal"))
+    assert not got[1].joined and not got[1].in_bound and not got[2].in_bound and not got[2].policy_kept and not got[3].sums_right and not got[3].no_worse and not got[4].joined
+    assert not paths.audit(found, base, asked, directed, banned).where("request_id = 0").first().turns_legal
+
+
+def test_late_records_count(spark, tmp_path):
+    """A late record of a later batch counts what began before it; batches are files."""
+    where = str(tmp_path / "in")
+    schema = "ip string, start_ms long, end_ms long"
+    batches = [[("a", 0, 100), ("a", 1000, 1100)], [("a", 150, 200), ("a", 1050, 1060)], [("a", 160, 170)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(where)
+    q = limits.usage_stream(stream, 300, late_ms=2000).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.ip, r.start_ms): r.used_ms for r in spark.sql("select * from late").collect()}
+    assert got == {("a", 0): 0, ("a", 1000): 0, ("a", 150): 100, ("a", 1050): 50, ("a", 160): 110}
+
+
+def test_admission_is_that_of_whole_histories():
     import numpy as np
 
-    from ridgeline import queries
-
-    at = lambda df, key: np.array([(r[key], r.lon, r.lat) for r in df.select(key, "lon", "lat").collect()])
-    p, n = at(queries._all_points(spark, folder), "point_id"), at(queries._Road(spark, folder).nodes, "id")
-    n = n[np.argsort(n[:, 0])]
-    (plon, plat), (nlon, nlat) = np.radians(p[:, 1:].T)[:, :, None], np.radians(n[:, 1:].T)[:, None, :]
-    angle = 2 * np.arcsin(np.sqrt(np.sin((plat - nlat) / 2) ** 2 + np.cos(plat) * np.cos(nlat) * np.sin((plon - nlon) / 2) ** 2))
-    assert len(p) == spark.read.parquet(f"{folder}/customer.parquet").count()
-    got = {r.point_id: r.id for r in queries.nearest_node_all(spark, folder).collect()}
-    assert got == {int(k): int(n[j, 0]) for k, j in zip(p[:, 0], angle.argmin(axis=1))}
-    near = {(r.point_id, r.id) for r in queries.within_radius_all(spark, folder).collect()}
-    assert near == {(int(p[i, 0]), int(n[j, 0])) for i, j in zip(*np.nonzero(angle * 6_371_000 < 123.0))}
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"ip": rng.choice(list("abc"), 400), "start_ms": rng.integers(0, 3000, 400), "legs": rng.integers(1, 6, 400)})
+    rows["end_ms"] = rows.start_ms + rng.integers(1, 200, 400)
+    rows = rows.drop_duplicates(["ip", "start_ms"])[["ip", "start_ms", "end_ms", "legs"]]
+    quotas = [(500, 150), (2000, 400)]
+    admitted, codes = [], []
+    for r in rows.sort_values(["start_ms", "ip"]).itertuples():
+        used = lambda w: sum(max(0, min(e, r.start_ms) - max(s, r.start_ms - w)) for ip, s, e, _ in admitted if ip == r.ip)  # noqa: E731, B023
+        free = 16 - sum(n for _, _, e, n in admitted if e > r.start_ms)
+        code = -3 if r.legs > 4 else -2 if any(used(w) > most for w, most in quotas) else -1 if free < 4 else len(admitted)
+        codes.append(code)
+        if code >= 0:
+            admitted.append((r.ip, r.start_ms, r.end_ms, r.legs))
+    assert limits.admit(rows, quotas).code.tolist() == codes and {-3, -2, -1} <= set(codes)
+
+
+def test_unknown_heights_are_null(spark):
+    n = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0), (3, 5.0, 6.0)], "id long, lon double, lat double")
+    got = {r.id: r.elevation for r in elevation.fetch(n, lambda points: [{2.0: 7.9, 4.0: None, 6.0: float("nan")}[lat] for lat, _ in points], batch=1).collect()}
+    assert got == {1: 7, 2: None, 3: None}
+
+
+def test_map_extract_in_xml(spark, tmp_path):
+    (tmp_path / "map.osm").write_text("""<?xml version="1.0"?><osm>
+<node id="1" lon="0.0" lat="0.0"/><node id="2" lon="0.001" lat="0.5"><tag k="highway" v="crossing"/></node><node id="3" lon="2.0" lat="1.0"/>
+<way id="10"><nd ref="2"/><nd ref="1"/><nd ref="3"/><nd ref="2"/><tag k="highway" v="path"/><tag k="oneway" v="yes"/></way><way id="11"><nd ref="1"/><nd ref="2"/></way>
+<relation id="5"><member type="way" ref="10" role="from"/><member type="node" ref="2" role="via"/><member type="way" ref="11" role="to"/><tag k="type" v="restriction"/><tag k="restriction" v="no_left_turn"/></relation></osm>""")
+    tables = osm.read_xml(spark, str(tmp_path / "map.osm"))
+    ways = {r.id: r for r in osm.ways(tables["ways"]).collect()}
+    assert ways[10].nodes == [2, 1, 3, 2] and ways[10].type == "path" and ways[10].oneway == 1 and [p.lat for p in ways[10].geom] == [0.5, 0.0, 1.0, 0.5]
+    assert ways[11].type == "" and {r.id: r.tags for r in tables["nodes"].collect()}[2] == {"highway": "crossing"}
+    assert [(r.relation_id, r.from_id, r.via_id, r.via_type, r.to_id) for r in osm.restrictions(tables["relations"]).collect()] == [(5, 10, 2, "n", 11)]
+
+
+def test_command_line(spark, tmp_path):
+    from ridgeline import cli, queries
+
+    at = lambda name: f"file://{tmp_path}/{name}"
+    nodes = grid.nodes(spark, "/root/testdata/sf0.001").where("id % 40 < 8")
+    point = "struct<lon:double,lat:double>"
+    rows = [(int(r.id), int(r.u), int(r.v)) for r in grid.edges(nodes).collect()]
+    place = {r.id: (r.lon, r.lat) for r in nodes.collect()}
+    spark.createDataFrame([(i, {"highway": "path"}, [u, v], [place[u], place[v]]) for i, u, v in rows], f"id long, tags map<string,string>, nodes array<long>, geom array<{point}>").write.parquet(at("ways"))
+    spark.createDataFrame([], "id long, tags map<string,string>, members array<struct<type:string,ref:long,role:string>>").write.parquet(at("relations"))
+    nodes.select("lon", "lat", "elevation").write.parquet(at("heights"))
+    queries._batches(spark).where("batch_id in (0, 8)").write.parquet(at("requests"))
+    cli.main(["build", at("ways"), at("relations"), at("heights"), at("graph"), "--profile", "hiking"])
+    cli.main(["route", at("graph"), at("requests"), at("out"), "--epochs", "2"])
+    got = {r.batch_id: r.response for r in spark.read.parquet(at("out")).collect()}
+    assert set(got) == {0, 8} and all('"LineString"' in r for r in got.values())
+    with pytest.raises(SystemExit):
+        cli.main(["build"])
+
+
+def test_median_split_of_ties(spark, monkeypatch):
+    from ridgeline.operators import relational
+
+    monkeypatch.setattr(relational, "BINS", 4)
+    for values in ([1.0] * 7, [1.0, 2.0], [5.0], [float(k % 3) for k in range(20)], []):
+        rows = [(k, v) for k, v in enumerate(values)]
+        got = {r.id: r.half for r in relational.median_split(spark.createDataFrame(rows, "id long, lon double"), "lon").collect()}
+        order = [i for _, i in sorted((v, i) for i, v in rows)]
+        assert got == {i: int(at >= len(rows) // 2) for at, i in enumerate(order)}
 
 
 def test_shortest_paths_of_graphs_beyond_the_kernel(spark, monkeypatch):
