@@ -3,8 +3,9 @@
 Groups are summed first, so a group of any number of copies is one row. Blocks of groups (dealt by a hash of the
 group) are differenced in parallel: every group starts as a partial partition with one filled shard; again and again
 the two partial partitions of the largest spread are combined, largest shard against smallest. What a block leaves is
-itself a partial partition of ``shards`` sums, and these, one for each block, are differenced in the same way. Only they
-(blocks x shards numbers, no rows of groups) reach the driver.
+itself a partial partition of ``shards`` sums, and these, one for each block, are differenced in the same way, together
+with the groups that are large beside a shard: these stand alone, for no block could level them. Only the blocks' sums
+and those groups (blocks x shards and ``LARGE`` x shards numbers at most) reach the driver.
 
 Law: ``bytes``. Sums differ by little unless one group alone outweighs an even share; groups are never split.
 
@@ -24,6 +25,8 @@ from ._store import Scratch
 
 #: Groups in a block are about so many at most; the number of blocks grows with the groups.
 BLOCK_GROUPS = 20_000
+#: A group of more than a shard's even share divided by this is large; there are fewer than LARGE * shards of them.
+LARGE = 64
 #: Slots are numbered in so many pieces of each shard, side by side.
 PIECES = 64
 
@@ -81,10 +84,14 @@ def shard(documents: DataFrame, shards: int = 16, key: str = "doc_id", text: str
         F.concat(F.unhex(F.md5(body)), F.when(F.col(text).isNull(), F.lit(b"0")).otherwise(F.lit(b"1"))).alias("digest"),
     )
     rows = work.put("rows", rows)
+    total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    is_large = F.col("bytes") * LARGE * shards > total
+    large = [(-1 - k, 0, bytes(r.digest), r.bytes) for k, r in enumerate(groups.where(is_large).orderBy(F.desc("bytes"), "digest").collect())]  # under LARGE x shards rows
+    kind = "block int, part int, digest binary, part_bytes long"
     blocks = max(1, -(-rows.select(F.approx_count_distinct("digest")).first()[0] // BLOCK_GROUPS))
-    dealt = groups.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int"))
-    parts = work.put("parts", dealt.groupBy("block").applyInPandas(_block(shards), "block int, part int, digest binary, part_bytes long"))
+    dealt = groups.where(~is_large).withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int"))
+    parts = work.put("parts", dealt.groupBy("block").applyInPandas(_block(shards), kind).unionByName(spark.createDataFrame(large, kind)))
     sums: dict[int, dict[int, int]] = {}
     for r in parts.groupBy("block", "part").agg(F.first("part_bytes").alias("s")).orderBy("block", "part").collect():  # blocks x shards rows
         sums.setdefault(r.block, {})[r.part] = r.s
