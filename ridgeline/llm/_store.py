@@ -12,24 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handed to Python at once, and bytes: texts may be long, so a batch stays small.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+#: Bytes that a writer gathers before it writes them out.
+ROW_GROUP = 16 << 20
 _LIBC = ctypes.CDLL(None)
 
 
+def _limits(rows: int) -> dict[str, int]:
+    """What one Arrow batch, and one batch of the Parquet reader, holds at most: the reader's vectors grow to all bytes of
+    its rows, and with thousands of texts or index blocks in each they fill an executor's heap."""
+    arrow, reader = "spark.sql.execution.arrow", "spark.sql.parquet.columnarReaderBatchSize"
+    return {f"{arrow}.maxRecordsPerBatch": rows, f"{arrow}.maxBytesPerBatch": ARROW_BYTES, reader: max(16, rows)}
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds what one Arrow batch holds for the rest of the session (never raises the setting): for an application
-    whose results are computed later, after the operator has returned."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Bounds batches for the rest of the session (never raises a setting): for an application whose results are computed
+    later, after the operator has returned."""
+    for key, value in _limits(rows).items():
+        if int(spark.conf.get(key).rstrip("b")) > value:
+            spark.conf.set(key, str(value))
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows and ARROW_BYTES at most, for what runs inside; then as before."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    """Batches of so many rows, and of ARROW_BYTES, at most, for what runs inside; then as before."""
+    wanted = _limits(rows)
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
-        spark.conf.set(key, value)
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
@@ -81,7 +90,7 @@ class Scratch:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

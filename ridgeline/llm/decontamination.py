@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ARROW_ROWS, Scratch, batches_of, tidy
+from ._store import ARROW_ROWS, ROW_GROUP, Scratch, batches_of, tidy
 from ._text import ALNUM, U, words
 
 #: Words of a window; shorter items are one window.
@@ -37,6 +37,8 @@ WINDOW = 10
 BLOCK_WINDOWS = 200_000
 #: Words of an index block, at most, unless one document has more: places then fit in two bytes.
 BLOCK_WORDS = 60_000
+#: Index blocks that a task takes at a time.
+BLOCK_ROWS = 16
 #: Terms of one dictionary row, and of a task's dictionary before it is sent.
 DICTIONARY, HELD = 100_000, 1_000_000
 
@@ -129,7 +131,7 @@ def build_index(documents: DataFrame, path: str, key: str = "doc_id", text: str
     """Writes the index of all documents and all their words to path."""
     rows = _index_rows(documents, key, text)
     with batches_of(documents.sparkSession, ARROW_ROWS):
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
     return Index(documents.sparkSession.read.schema(rows.schema).parquet(path))
 
 
@@ -283,8 +285,8 @@ def search(index: Index, benchmark: DataFrame, size: int = WINDOW, slop: int = 0
         block = asked.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == r).toArrow()
         sequences = [np.frombuffer(x.as_buffer(), U) for x in block["words"]]
         vocabulary = np.unique(np.concatenate([*sequences, np.zeros(0, U)]))
-        plan = _plan(sequences, vocabulary, term_counts(index, vocabulary))
-        with batches_of(spark, 64):
+        with batches_of(spark, BLOCK_ROWS):
+            plan = _plan(sequences, vocabulary, term_counts(index, vocabulary))
             found = work.put(f"hits{r}", _round(index, plan, block["items"].to_pylist(), slop))
         hits = found if hits is None else hits.unionByName(found)
     if rounds > 1:
