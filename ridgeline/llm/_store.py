@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handed to Python at once, and bytes: texts may be long, so a batch stays small.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
-#: Bytes that a writer gathers before it writes them out.
-ROW_GROUP = 16 << 20
+#: A writer gathers 16 MB before it writes them out, and looks at its sizes after 8 rows, not after 100: rows that are
+#: whole index blocks or tiles would make pages of tens of MB, and codecs keep native buffers of the largest page.
+WRITING = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 8, "parquet.page.size.row.check.min": 8}
 _LIBC = ctypes.CDLL(None)
 
 
@@ -90,7 +91,7 @@ class Scratch:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.mode("overwrite").options(**WRITING).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ARROW_ROWS, ROW_GROUP, Scratch, batches_of, tidy
+from ._store import ARROW_ROWS, WRITING, Scratch, batches_of, tidy
 from ._text import ALNUM, U, words
 
 #: Words of a window; shorter items are one window.
@@ -36,11 +36,11 @@ WINDOW = 10
 #: About so many windows are searched for in one round.
 BLOCK_WINDOWS = 200_000
 #: Words of an index block, at most, unless one document has more: places then fit in two bytes.
-BLOCK_WORDS = 60_000
+BLOCK_WORDS = 16_000
 #: Index blocks that a task takes at a time.
 BLOCK_ROWS = 16
 #: Terms of one dictionary row, and of a task's dictionary before it is sent.
-DICTIONARY, HELD = 100_000, 1_000_000
+DICTIONARY, HELD = 8_000, 1_000_000
 
 # --- the index -----------------------------------------------------------------------------------------------------
 
@@ -131,7 +131,7 @@ def build_index(documents: DataFrame, path: str, key: str = "doc_id", text: str
     """Writes the index of all documents and all their words to path."""
     rows = _index_rows(documents, key, text)
     with batches_of(documents.sparkSession, ARROW_ROWS):
-        rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+        rows.write.mode("overwrite").options(**WRITING).parquet(path)
     return Index(documents.sparkSession.read.schema(rows.schema).parquet(path))
 
 
