@@ -65,8 +65,17 @@ def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets.astype(np.int64)
 
 
-def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of data; no word crosses a bound."""
+def _within(starts: np.ndarray, ends: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Which bytes lie in a word that holds a marked byte."""
+    held = np.unique(np.searchsorted(starts, np.flatnonzero(marked), "right") - 1)
+    change = np.zeros(len(marked) + 1, np.int8)
+    change[starts[held]] += 1
+    change[ends[held]] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
+
+
+def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, values: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of data; no word crosses a bound. With classes, of the parts of words."""
     n = len(data)
     word = table[data]
     before = np.empty(n, bool)
@@ -78,14 +87,26 @@ def _scan(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, values: np.nd
     after[inner[inner > 0] - 1] = False
     after[n - 1] = before[0] = False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    value = values[data]
+    if classes is not None and len(starts):
+        kind = classes[data]
+        plain = (kind > 0) & (kind < 4)
+        cut = word & before
+        cut[1:] &= plain[1:] & plain[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        cut &= ~_within(starts, ends, word & (kind == 0))
+        last = word & ~after
+        last[:-1] |= cut[1:]
+        starts, ends = np.flatnonzero(word & ~before | cut), np.flatnonzero(last) + 1
+        other = _within(starts, ends, word & ~plain)
+        value[other] = _EXACT[data[other]]
     power, inverse = _powers(n)
     sums = np.empty(n + 1, U)
     sums[0] = 0
-    np.cumsum(values[data] * power[:n], out=sums[1:])
+    np.cumsum(value * power[:n], out=sums[1:])
     return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
-def _long(data: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long(data: np.ndarray, table: np.ndarray, values: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one long text, in pieces cut between words."""
     parts, at = [], 0
     while at < len(data):
@@ -97,7 +118,7 @@ def _long(data: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.n
                 break
             to += PIECE
         to = min(to, len(data))
-        s, e, h = _scan(data[at:to], np.array([0, to - at]), table, values)
+        s, e, h = _scan(data[at:to], np.array([0, to - at]), table, values, classes)
         parts.append((s + at, e + at, h))
         at = to
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -106,7 +127,16 @@ def _long(data: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.n
 def words(column: pa.Array, table: np.ndarray, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows first..last-1: where each row's words begin among the run's (n + 1), then the words' hashes,
     starts and ends in bytes, and those bytes. Without fold, A-Z and a-z hash differently."""
-    values = _VALUES if fold else _EXACT
+    return _runs(column, table, _VALUES if fold else _EXACT, None)
+
+
+def parts_of(column: pa.Array, table: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for parts of words: a word is cut where the class of its bytes changes, and beside each byte of class 2,
+    but not beside class 4; a word that holds class 0 stays whole. A-Z count as a-z in parts of classes 1 to 3 alone."""
+    return _runs(column, table, _VALUES, classes)
+
+
+def _runs(column: pa.Array, table: np.ndarray, values: np.ndarray, classes: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     data, offsets = byte_views(column)
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -117,7 +147,7 @@ def words(column: pa.Array, table: np.ndarray, fold: bool = True) -> Iterator[tu
             empty = np.zeros(0, np.int64)
             yield first, last, np.zeros(last - first + 1, np.int64), np.zeros(0, U), empty, empty, part
         else:
-            starts, ends, hashes = _scan(part, bounds, table, values) if len(part) <= 2 * PIECE else _long(part, table, values)
+            starts, ends, hashes = _scan(part, bounds, table, values, classes) if len(part) <= 2 * PIECE else _long(part, table, values, classes)
             yield first, last, np.searchsorted(starts, bounds), hashes, starts, ends, part
         first = last
 

@@ -7,7 +7,10 @@ and each partition packs its documents one after another into sequences, cutting
 at a partition's end is cut into powers of two, which need no padding.
 
 The tokenizer works on each distinct white-space-separated word once for a worker: it never merges across
-ASCII white space. The cache of words is bounded; words are told apart by 64-bit hashes (with 2,000,000 words in it, the
+ASCII white space. Where its file says that it lower-cases and cuts text into letters, single digits and signs before it
+merges (``SPLIT``), words are cut so first between ASCII characters, and plain ASCII parts are told apart without regard
+to case. Parts of Latin letters, one digit or signs alone go to the tokenizer's merges at once, in lower case and as the
+characters that stand for bytes. Words with an apostrophe or a character that begins an added token stay whole. The cache of words is bounded; words are told apart by 64-bit hashes (with 2,000,000 words in it, the
 chance that any two of them are taken for one is about 1e-7).
 
 Defined cases: a null or empty text has only the end id; long texts spread over sequences; ties are ordered by id
@@ -16,9 +19,12 @@ and checksum, and repeated rows are packed each; extra columns are ignored; an e
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from math import erf, sqrt
 
 import numpy as np
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import ARROW_ROWS, Scratch, batches_of, tidy
-from ._text import SPACED, U, mix, words
+from ._text import SPACED, U, mix, parts_of, words
 
 LENGTH = 4096
 END = 2
@@ -42,6 +48,14 @@ BOUND_SAMPLE = 20_000
 #: A partition holds about so many bytes of text at least: its end costs some short sequences.
 PARTITION_BYTES = 8 << 20
 
+#: The pattern by which a tokenizer cuts text, if words may be cut beforehand.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Letters in every edition of Unicode whose lower case is one letter and that nothing composes to.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: The characters by which byte-level merges write the bytes that have no printable one of their own.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
 _STEPS = np.array([0.5 * (1 + erf(x / sqrt(2))) for x in np.linspace(-4, 4, 513)])
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -90,6 +104,28 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def classes_of(path: str) -> np.ndarray | None:
+    """A class for each byte, if words may be cut where it changes: 1 letters, 2 digits (each alone), 3 signs, 4 other
+    characters, beside which nothing is cut, 0 what keeps its word whole. None if the tokenizer cuts text otherwise."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    if spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [split, level]} or spec["normalizer"] != {"type": "Sequence", "normalizers": normal}:
+        return None
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F], kind[0x80:] = 3, 4
+    kind[[0xCE, 0xCF]] = 0  # Greek: a sigma's lower case may depend on what follows
+    kind[0x30:0x3A] = 2
+    kind[0x41:0x5B] = kind[0x61:0x7B] = 1
+    kind[ord("'")] = 0
+    for token in spec["added_tokens"]:
+        first = token["content"].encode()[0]
+        kind[[first, *chr(first).swapcase().encode()]] = 0
+    return kind
+
+
 class WordIds:
     """Token ids of words by hash; new words go to the tokenizer once."""
 
@@ -97,12 +133,23 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.classes = Tokenizer.from_file(path), classes_of(path)
+        of = lambda k: re.escape("".join(map(chr, np.flatnonzero(self.classes == k))))
+        self.plain = re.compile(f"[{of(1)}{_LATIN}]+|[{of(2)}]|[{of(3)}]+") if self.classes is not None else None
         self._clear()
 
     def _clear(self) -> None:
         self.hashes, self.starts, self.sizes, self.pool, self.used = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
 
+    def _fresh(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        merge = self.tokenizer.model.tokenize
+        found = [[t.id for t in merge(x.lower().encode().decode("latin-1").translate(_BYTES))] if self.plain and self.plain.fullmatch(x) else None for x in texts]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            found[k] = e.ids
+        return found
+
     def encode(self, hashes, starts, ends, part) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each word's number of ids."""
         if not len(hashes):
@@ -116,9 +163,9 @@ class WordIds:
         if len(new):
             raw = part.tobytes()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = self._fresh(texts)
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             if self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
             self.pool[self.used : self.used + len(flat)] = flat
@@ -143,7 +190,7 @@ def word_ids(path: str) -> WordIds:
 
 def tokens(column: pa.Array, ids: WordIds, end: int = END) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows: the first row, all their ids with the end id after each row, and where each row begins (n + 1)."""
-    for first, last, bounds, h, starts, ends, part in words(column, SPACED, fold=False):
+    for first, last, bounds, h, starts, ends, part in words(column, SPACED, fold=False) if ids.classes is None else parts_of(column, SPACED, ids.classes):
         flat, size = ids.encode(h, starts, ends, part)
         inner = np.concatenate([[0], np.cumsum(size)])[bounds]
         begins = inner + np.arange(len(inner))
